@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, langid
+from . import chat, langid, tokencount, tokenids
 
 
 def queries() -> dict:
     return {
         "op2_chat_prefix_targets": chat.op2_chat_prefix_targets,
+        "op5_prefix_token_counts": tokencount.op5_prefix_token_counts,
+        "op8_streamed_token_ids": tokenids.op8_streamed_token_ids,
         "op10_ppm_language": langid.op10_ppm_language,
     }
 
