@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, langid, tokencount, tokenids
+from . import chat, langid, packing, tokencount, tokenids
 
 
 def queries() -> dict:
     return {
+        "op1_length_buckets": packing.op1_length_buckets,
         "op2_chat_prefix_targets": chat.op2_chat_prefix_targets,
         "op5_prefix_token_counts": tokencount.op5_prefix_token_counts,
         "op8_streamed_token_ids": tokenids.op8_streamed_token_ids,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_prefix_targets": chat.ORACLE_SQL}
+    return {"op1_length_buckets": packing.oracle_sql(), "op2_chat_prefix_targets": chat.ORACLE_SQL}
