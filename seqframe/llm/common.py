@@ -55,13 +55,14 @@ def drop_stage(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def per_worker(make: Callable):
-    """Memoise ``make`` once for each Python worker (key: its arguments)."""
+def per_worker(make: Callable, most: int = 8):
+    """Memoise ``make`` in each Python worker (key: its arguments), for the last ``most`` keys."""
     memo: dict = {}
 
     def get(*key):
         if key not in memo:
-            memo.clear()
+            while len(memo) >= most:
+                del memo[next(iter(memo))]
             memo[key] = make(*key)
         return memo[key]
 
