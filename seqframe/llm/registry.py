@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, packing, tiling, tokencount, tokenids, toxicity
+from . import chat, htmltext, langid, packing, tiling, tokencount, tokenids, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_chat_prefix_targets": chat.op2_chat_prefix_targets,
         "op5_prefix_token_counts": tokencount.op5_prefix_token_counts,
         "op6_string_kernel_toxicity": toxicity.op6_string_kernel_toxicity,
+        "op7_template_text": htmltext.op7_template_text,
         "op8_streamed_token_ids": tokenids.op8_streamed_token_ids,
         "op9_string_tiling": tiling.op9_string_tiling,
         "op10_ppm_language": langid.op10_ppm_language,
