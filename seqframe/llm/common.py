@@ -36,6 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def block_column(rows: DataFrame, key: str, total: int, per_block: int, most: int = 4096) -> Column:
+    """A block number that ascends with the long column ``key``: blocks of ``per_block`` rows on
+    average, cut at its quantiles (nulls with the first block), ``most`` blocks at most."""
+    n = max(1, min(most, -(-total // per_block)))
+    cuts = rows.approxQuantile(key, [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
+    cuts = sorted({int(c) for c in cuts})
+    if not cuts:
+        return F.lit(0)
+    value = F.coalesce(F.col(key), F.lit(cuts[0]))
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value))
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage ends here, and a
     lost executor costs only the reread of its files."""
