@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, htmltext, langid, packing, tiling, tokencount, tokenids, toxicity
+from . import chat, fingerprint, htmltext, jaccard, langid, packing, tiling, tokencount, tokenids, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_length_buckets": packing.op1_length_buckets,
         "op2_chat_prefix_targets": chat.op2_chat_prefix_targets,
         "op3_imatch_fingerprints": fingerprint.op3_imatch_fingerprints,
+        "op4_divide_skip_join": jaccard.op4_divide_skip_join,
         "op5_prefix_token_counts": tokencount.op5_prefix_token_counts,
         "op6_string_kernel_toxicity": toxicity.op6_string_kernel_toxicity,
         "op7_template_text": htmltext.op7_template_text,
