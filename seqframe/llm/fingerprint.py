@@ -75,7 +75,8 @@ def members(term: np.ndarray) -> np.ndarray:
 class Lexicon:
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.sort(hashes)
-        self.members = members(self.hashes)
+        row, self.subset = np.nonzero(members(self.hashes))
+        self.first = np.searchsorted(row, np.arange(len(self.hashes) + 1))
         self.power = np.ones(1024, np.uint64)
         self._grow(1024)
 
@@ -90,20 +91,28 @@ class Lexicon:
         k[k == len(self.hashes)] = 0
         hit = self.hashes[k] == own if len(self.hashes) else np.zeros(len(own), bool)
         if hit.sum() >= LEAST:
-            kept, held = own[hit], self.members[k[hit]]
+            kept, k = own[hit], k[hit]
+            n = self.first[k + 1] - self.first[k]
+            row = np.repeat(np.arange(len(k)), n)
+            subset = self.subset[np.arange(len(row)) + np.repeat(self.first[k] - np.cumsum(n) + n, n)]
         else:
-            kept, held = own, members(own)
-        if not len(kept):
-            return np.zeros(SUBSETS, np.uint16)
+            kept = own
+            row, subset = np.nonzero(members(own))
+        out = np.zeros(SUBSETS, np.uint16)
+        if not len(row):
+            return out
         if len(kept) >= len(self.power):
             self._grow(2 * len(kept))
-        # a polynomial over the sorted terms of each subset: place counts from the subset's first term
-        place = np.cumsum(held, axis=0, dtype=np.int64)
+        # a polynomial over the sorted terms of each subset
+        order = np.argsort(subset.astype(np.uint8), kind="stable")
+        subset = subset[order]
+        used, start = np.unique(subset, return_index=True)
+        place = np.arange(len(subset)) - np.repeat(start, np.diff(np.append(start, len(subset))))
         with np.errstate(over="ignore"):
-            sums = np.where(held, kept[:, None] * self.power[place], np.uint64(0)).sum(axis=0, dtype=np.uint64)
+            sums = np.add.reduceat(kept[row[order]] * self.power[place], start)
             sums = (sums ^ (sums >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-        out = (sums >> np.uint64(48)).astype(np.uint16)
-        return np.where(place[-1] > 0, np.maximum(out, 1), 0).astype(np.uint16)
+        out[used] = np.maximum(sums >> np.uint64(48), 1)
+        return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
