@@ -42,20 +42,27 @@ class PrefixCounter:
 
         lib = sentencepiece.SentencePieceProcessor(model_file=path)
         self.rank: dict[str, float] = {}
+        self.ids: dict[str, int] = {}
         for i in range(lib.get_piece_size()):
             if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i)):
                 self.rank[lib.id_to_piece(i)] = -lib.get_score(i)
+                self.ids[lib.id_to_piece(i)] = i
+        self.encode = lib.encode
+        self.alone = not any("\n" in p for p in self.rank) and len(lib.encode("\n")) == 2
         crossing = [p for p in self.rank if MARK in p.lstrip(MARK)]
         if crossing:
             raise ValueError(f"pieces hold a space mark after other characters: {crossing[:3]}")
         self.longest = max(map(len, self.rank), default=1)
-        # a character ends only so many lengths of pieces
+        # the last three characters (two, of shorter pieces) leave few lengths of pieces
         ends: dict[str, set[int]] = {}
         for p in self.rank:
-            ends.setdefault(p[-2:], set()).add(len(p))
+            ends.setdefault(p[-3:], set()).add(len(p))
         self.lengths = {k: tuple(sorted((n for n in v if n > 1), reverse=True)) for k, v in ends.items()}
+        # no merge joins two characters that stand side by side in no piece
+        self.inside = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
         self.stays: dict[tuple[str, str], bool] = {}
         self.parts: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The merges themselves on a short text: best score first, leftmost on ties."""
@@ -73,35 +80,69 @@ class PrefixCounter:
     def _pair_stays(self, a: str, b: str) -> bool:
         got = self.stays.get((a, b))
         if got is None:
-            got = self.merged(a + b) == [a, b]
+            # a line feed is in no piece, so what stands before it changes nothing
+            ids = self.encode("\n" + (a + b).replace(MARK, " ")) if self.alone else None
+            got = ids[-2:] == [self.ids[a], self.ids[b]] and len(ids) == 4 if ids else self.merged(a + b) == [a, b]
             if len(self.stays) >= MEMO:
                 self.stays.clear()
             self.stays[a, b] = got
         return got
 
     def _steps(self, part: str) -> bytes:
-        """The change of the count at each character of a part."""
+        """The change of the count at each character of a part, cut where no merge can reach across."""
+        inside, runs, out, start = self.inside, self.runs, [], 0
+        for k in range(1, len(part) + 1):
+            if part[k - 1 : k + 1] not in inside:
+                run = part[start:k]
+                got = runs.get(run)
+                if got is None:
+                    if len(runs) >= MEMO:
+                        runs.clear()
+                    got = runs[run] = self._dynamic(run)
+                out.append(got)
+                start = k
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def _dynamic(self, part: str) -> bytes:
         rank, lengths, stays = self.rank, self.lengths, self.stays
-        last, count, out = [""], [0], []
+        last, count, out = [""], [0], bytearray()
+        none = ()
         for i in range(1, len(part) + 1):
-            token, n = part[i - 1], 0
-            for size in lengths.get(part[i - 2 : i] if i > 1 else token, ()):
-                if size > i:
-                    continue
-                t = part[i - size : i]
-                if t in rank:
-                    before = last[i - size]
-                    if not before or (stays[before, t] if (before, t) in stays else self._pair_stays(before, t)):
+            token, n = "", 0
+            for suffix in (part[i - 3 : i], part[i - 2 : i]) if i > 2 else (part[:i],):
+                for size in lengths.get(suffix, none):
+                    if size > i:
+                        continue
+                    t = part[i - size : i]
+                    if t in rank:
+                        before = last[i - size]
+                        if before:
+                            ok = stays.get((before, t))
+                            if not (self._pair_stays(before, t) if ok is None else ok):
+                                continue
                         token, n = t, count[i - size] + 1
                         break
+                if n:
+                    break
             if not n:
+                token = part[i - 1]
                 n = count[i - 1] + (1 if token in rank else len(token.encode()))
             last.append(token)
-            count.append(n)
             # a step of a byte: the largest gain is 4, a loss is bounded by the longest piece
             out.append(n - count[i - 1] & 0xFF)
+            count.append(n)
         return bytes(out)
 
+    def _part(self, word: str, run: int) -> bytes:
+        """Steps of a word and the marks before it."""
+        key = word if run == 1 else " " * (run - 1) + word
+        got = self.parts.get(key)
+        if got is None:
+            if len(self.parts) >= MEMO:
+                self.parts.clear()
+            got = self.parts[key] = self._steps(MARK * run + word)
+        return got
+
     def steps(self, text: str) -> bytes:
         """prefix_steps of a text without the mark that the library puts before it.
 
@@ -112,18 +153,21 @@ class PrefixCounter:
         parts, out = self.parts, []
         text = text.replace(MARK, " ")
         words = text.split(" ")
+        if "" not in words:
+            out = list(map(parts.get, words))
+            if None in out:
+                for k, got in enumerate(out):
+                    if got is None:
+                        out[k] = self._part(words[k], 1)
+            out[0] = _joined(out[0])
+            return b"".join(out)
         run = 1  # marks before the word, the library's own first
         first = True
         for w in words:
             if not w:
                 run += 1
                 continue
-            key = w if run == 1 else " " * (run - 1) + w
-            got = parts.get(key)
-            if got is None:
-                if len(parts) >= MEMO:
-                    parts.clear()
-                got = parts[key] = self._steps(MARK * run + w)
+            got = self._part(w, run)
             if first:
                 # the library's mark is not a character of the text
                 got = _joined(got)
