@@ -1,0 +1,20 @@
+"""Tables written to the shared folder between the rounds of iterative operators."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write and read back: lineage ends here.  The folder is spark.checkpoint.dir; a local one is set where none is."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="seqframe-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/seqframe/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
