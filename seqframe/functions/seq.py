@@ -19,6 +19,11 @@ def col(s: Column | str) -> Column:
     return F.col(s) if isinstance(s, str) else s
 
 
+def let(value, body) -> Column:
+    """body(x) with x bound to the value, which is then worked out once and not at each use in a lambda."""
+    return F.get(F.transform(F.array(col(value)), body), F.lit(0))
+
+
 def to_lower(s) -> Column:
     """ASCII letters only; everything else as it is."""
     return F.translate(col(s), _UPPER, _LOWER)
@@ -100,8 +105,8 @@ def starts(s, k: Column | int) -> Column:
 
 def windows(s, k: int) -> Column:
     """Array of struct(pos, kmer) of all k-mers."""
-    s = col(s)
-    return F.transform(starts(s, k), lambda i: F.struct((i - 1).alias("pos"), F.substring(s, i, F.lit(k)).alias("kmer")))
+    each = lambda x: F.transform(starts(x, k), lambda i: F.struct((i - 1).alias("pos"), F.substring(x, i, F.lit(k)).alias("kmer")))
+    return let(s, each)
 
 
 def symbols(s) -> Column:
@@ -118,8 +123,12 @@ def all_index(s, motif: Column | str, fold: bool = False) -> Column:
     s, m = col(s), F.lit(motif) if isinstance(motif, str) else motif
     if fold:
         s, m = to_upper(s), to_upper(m)
-    hits = F.filter(starts(s, F.length(m)), lambda i: F.substring(s, i, F.length(m)) == m)
-    return F.when(F.length(m) > 0, F.transform(hits, lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
+
+    def hits(x: Column, y: Column) -> Column:
+        return F.transform(F.filter(starts(x, F.length(y)), lambda i: F.substring(x, i, F.length(y)) == y), lambda i: i - 1)
+
+    found = let(F.struct(s.alias("s"), m.alias("m")), lambda v: hits(v["s"], v["m"]))
+    return F.when(F.length(m) > 0, found).otherwise(F.array().cast("array<int>"))
 
 
 def all_count(s, motif: str, fold: bool = False) -> Column:
@@ -139,7 +148,8 @@ def first_index(s, motif: Column | str) -> Column:
 def hamming(s, t, fold: bool = False) -> Column:
     """Number of places that differ; an error for unequal lengths."""
     s, t = (to_upper(s), to_upper(t)) if fold else (col(s), col(t))
-    n = F.size(F.filter(starts(s, 1), lambda i: F.substring(s, i, F.lit(1)) != F.substring(t, i, F.lit(1))))
+    differ = lambda v: F.size(F.filter(starts(v["s"], 1), lambda i: F.substring(v["s"], i, F.lit(1)) != F.substring(v["t"], i, F.lit(1))))
+    n = let(F.struct(s.alias("s"), t.alias("t")), differ)
     return F.when(F.length(s) == F.length(t), n).otherwise(F.raise_error(F.lit("sequences of unequal length")).cast("int"))
 
 
@@ -157,22 +167,29 @@ def window_hamming(s, motif: Column, i: Column) -> Column:
 
 def hamming_all_index(s, motif: str, d: int) -> Column:
     """Positions of the windows that differ from the motif in at most d places."""
-    s, m = col(s), F.lit(motif)
-    return F.transform(F.filter(starts(s, len(motif)), lambda i: window_hamming(s, m, i) <= d), lambda i: i - 1)
+    m = F.lit(motif)
+    near = lambda x: F.transform(F.filter(starts(x, len(motif)), lambda i: window_hamming(x, m, i) <= d), lambda i: i - 1)
+    return let(s, near)
 
 
 def motif_hamming(s, motif: Column | str) -> Column:
     """Least differences of any window, whatever the case; the motif's length when s is shorter."""
     s, m = to_upper(s), to_upper(F.lit(motif) if isinstance(motif, str) else motif)
-    return F.coalesce(F.array_min(F.transform(starts(s, F.length(m)), lambda i: window_hamming(s, m, i))), F.length(m))
+    least = lambda v: F.array_min(F.transform(starts(v["s"], F.length(v["m"])), lambda i: window_hamming(v["s"], v["m"], i)))
+    return F.coalesce(let(F.struct(s.alias("s"), m.alias("m")), least), F.length(m))
 
 
 def nearest_kmers(s, motif: str, fold: bool = False) -> Column:
     """Windows with the least differences from the motif, in order, repeated ones too."""
     s, m = (to_upper(s), F.lit(motif.upper())) if fold else (col(s), F.lit(motif))
-    at = F.transform(starts(s, len(motif)), lambda i: F.struct(window_hamming(s, m, i).alias("d"), i.alias("i")))
-    least = F.array_min(F.transform(at, lambda x: x["d"]))
-    return F.transform(F.filter(at, lambda x: x["d"] == least), lambda x: F.substring(s, x["i"], F.lit(len(motif))))
+
+    def near(v: Column) -> Column:
+        at = F.transform(starts(v, len(motif)), lambda i: F.struct(window_hamming(v, m, i).alias("d"), i.alias("i")))
+        least = lambda x: F.struct(x.alias("at"), F.array_min(F.transform(x, lambda y: y["d"])).alias("least"))
+        pick = lambda z: F.transform(F.filter(z["at"], lambda y: y["d"] == z["least"]), lambda y: F.substring(v, y["i"], F.lit(len(motif))))
+        return let(let(at, least), pick)
+
+    return let(s, near)
 
 
 def splice(s, introns: list[str]) -> Column:
@@ -182,21 +199,24 @@ def splice(s, introns: list[str]) -> Column:
 
 def palindromes(s, least: int, most: int) -> Column:
     """Array of struct(pos, len) of even-length reverse palindromes, centre by centre, inner first."""
-    s = to_upper(s)
-    least = max(2, least + least % 2)
-
-    def at(c: Column) -> Column:
-        # c symbols stand left of the centre
-        reach = F.least(c, F.length(s) - c, F.lit(most // 2))
-        halves = F.when(reach >= least // 2, F.sequence(F.lit(least // 2), reach)).otherwise(F.array().cast("array<int>"))
-        fits = F.filter(
-            halves,
-            lambda h: F.substring(s, c - h + 1, h) == reverse_complement8(F.substring(s, c + 1, h)),
-        )
-        return F.transform(fits, lambda h: F.struct((c - h).alias("pos"), (2 * h).alias("len")))
+    low, high = max(2, least + least % 2) // 2, most // 2
+
+    def all_(v: Column) -> Column:
+        # the strand that stands opposite, read from the other end: place c there is place n - c here
+        n = F.length(v["s"])
 
-    centres = F.when(F.length(s) > 1, F.sequence(F.lit(1), F.length(s) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(centres, at))
+        def at(c: Column) -> Column:
+            # c symbols stand left of the centre
+            reach = F.least(c, n - c, F.lit(high))
+            halves = F.when(reach >= low, F.sequence(F.lit(low), reach)).otherwise(F.array().cast("array<int>"))
+            fits = F.filter(halves, lambda h: F.substring(v["s"], c + 1, h) == F.substring(v["o"], n - c + 1, h))
+            return F.transform(fits, lambda h: F.struct((c - h).alias("pos"), (2 * h).alias("len")))
+
+        centres = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(centres, at))
+
+    upper = to_upper(s)
+    return let(F.struct(upper.alias("s"), reverse_complement8(upper).alias("o")), all_)
 
 
 def codon_index(codon: Column) -> Column:
@@ -216,16 +236,19 @@ def is_start_codon(codon: Column) -> Column:
 
 def residues(s, frame: int = 0) -> Column:
     """All codons from the frame on as one string, stops as ``*``; an incomplete codon is left out."""
-    s = col(s)
-    n = F.floor((F.length(s) - frame) / 3).cast("int")
-    each = F.transform(F.sequence(F.lit(0), n - 1), lambda k: translate_codon(F.substring(s, k * 3 + frame + 1, F.lit(3))))
-    return F.when(n >= 1, F.array_join(each, "")).otherwise(F.when(s.isNotNull(), F.lit("")))
+
+    def read(x: Column) -> Column:
+        n = F.floor((F.length(x) - frame) / 3).cast("int")
+        each = F.transform(F.sequence(F.lit(0), n - 1), lambda k: translate_codon(F.substring(x, k * 3 + frame + 1, F.lit(3))))
+        return F.when(n >= 1, F.array_join(each, "")).otherwise(F.when(x.isNotNull(), F.lit("")))
+
+    return let(s, read)
 
 
 def translate(s) -> Column:
     """struct(peptide, stop): up to the first stop codon or the end."""
-    all_ = residues(s)
-    return F.struct(F.split_part(all_, F.lit("*"), F.lit(1)).alias("peptide"), (F.instr(all_, "*") > 0).alias("stop"))
+    both = lambda r: F.struct(F.split_part(r, F.lit("*"), F.lit(1)).alias("peptide"), (F.instr(r, "*") > 0).alias("stop"))
+    return let(residues(s), both)
 
 
 def number(kmer) -> Column:
@@ -260,12 +283,16 @@ def fasta_description(header) -> Column:
 
 def titv(s, t) -> Column:
     """Transitions over transversions of two sequences; symbols that are no bases do not count."""
-    s, t = to_upper(s), to_upper(t)
-    place = starts(s, 1)
-    pair = lambda i: F.concat(F.substring(s, i, F.lit(1)), F.substring(t, i, F.lit(1)))
-    ti = F.size(F.filter(place, lambda i: pair(i).isin("AG", "GA", "CT", "TC")))
-    tv = F.size(F.filter(place, lambda i: pair(i).isin("AC", "CA", "AT", "TA", "GC", "CG", "GT", "TG")))
-    return ieee_div(ti, tv)
+
+    def pairs(v: Column) -> Column:
+        return F.transform(starts(v["s"], 1), lambda i: F.concat(F.substring(v["s"], i, F.lit(1)), F.substring(v["t"], i, F.lit(1))))
+
+    def ratio(p: Column) -> Column:
+        ti = F.size(F.filter(p, lambda x: x.isin("AG", "GA", "CT", "TC")))
+        tv = F.size(F.filter(p, lambda x: x.isin("AC", "CA", "AT", "TA", "GC", "CG", "GT", "TG")))
+        return ieee_div(ti, tv)
+
+    return let(let(F.struct(to_upper(s).alias("s"), to_upper(t).alias("t")), pairs), ratio)
 
 
 def linear_gap(s, t, score, penalty: int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from ..plans.stages import stage
+from .stages import stage
 
 
 def de_bruijn(kmers: DataFrame) -> DataFrame:

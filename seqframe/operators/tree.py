@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.stages import stage
+from .stages import stage
 
 
 def children(nodes: DataFrame) -> DataFrame:

@@ -1 +1,6 @@
-"""Queries over the given tables, their SQL, and tables written between steps."""
+"""Queries over the given tables, with their SQL."""
+
+from . import sequence_queries
+from .tables import REGISTRY, Tables
+
+__all__ = ["REGISTRY", "Tables", "sequence_queries"]
