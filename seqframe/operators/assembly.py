@@ -69,20 +69,48 @@ def _simple(edges: DataFrame) -> DataFrame:
 
 
 def contigs(kmers: DataFrame) -> DataFrame:
-    """seq, n: strings of the maximal non-branching paths of the de Bruijn graph, ``n`` times each.
+    """seq, n: strings of the maximal non-branching paths of the de Bruijn graph of k-mers (kmer, n or once)."""
+    return _paths(stage(de_bruijn(kmers)), lambda x: x, lambda x: F.substring(x, -1, 1))
+
+
+def pair_contigs(pairs: DataFrame) -> DataFrame:
+    """d, seq, n: strings of the maximal non-branching paths of the paired graph of (d, a, b).
+
+    A path that is too short to reach its second mates gives no string and is left out.
+    """
+    if not pairs.limit(1).count():
+        return pairs.select("d", F.col("a").alias("seq"), F.lit(1).cast("long").alias("n"))
+    e = pair_de_bruijn(pairs)
+    name = lambda x: F.concat(x["a"], F.lit("|"), x["b"])
+    # a node is written as first|second; a path as the nodes' last symbols of both
+    edges = stage(e.select("d", name(F.col("src")).alias("src"), name(F.col("dst")).alias("dst"), "n"))
+    half = lambda x, i: F.split_part(x, F.lit("|"), F.lit(i))
+    end = lambda x: F.concat(F.substring(half(x, 1), -1, 1), F.substring(half(x, 2), -1, 1))
+    d = edges.agg(F.min("d").alias("d")).first()["d"]
+    k = F.length(half(F.col("seq"), 1))
+    paths = _paths(edges.drop("d"), lambda x: F.concat(x, F.lit("|")), end)
+    tail = half(F.col("seq"), 3)
+    n = F.floor(F.length(tail) / 2).cast("int")
+    pick = lambda o: F.array_join(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(tail, 2 * i + o, F.lit(1))), "")
+    first, second, shift = F.concat(half(F.col("seq"), 1), pick(1)), F.concat(half(F.col("seq"), 2), pick(2)), k + d
+    whole = F.concat(F.substring(first, F.lit(1), shift), second)
+    return paths.where(F.length(first) >= shift).select(F.lit(d - 1).alias("d"), whole.alias("seq"), "n")
+
+
+def _paths(edges: DataFrame, begin, end) -> DataFrame:
+    """seq, n of the maximal non-branching paths of arcs (src, dst, n): begin(first node), then end(node) of each other.
 
     Chains of simple nodes are joined by pointer doubling: in each round every chain takes over
     the one that starts where it ends, so rounds grow with the logarithm of the longest
     path.  Each round is written out, so lineage stays short.  Isolated cycles come once,
     from their smallest node.
     """
-    edges = stage(de_bruijn(kmers))
     simple = stage(_simple(edges))
     head = simple.withColumnRenamed("node", "src")
     start = edges.join(head, "src", "left_anti")
     inner = stage(edges.join(head, "src", "left_semi").select("src", "dst"))
     reached = _reached(start, inner, simple).withColumnRenamed("node", "src")
-    last = F.expr("substring(dst, length(dst), 1)")
+    last = end(F.col("dst"))
     chain = stage(inner.join(reached, "src", "left_semi").select(F.col("src").alias("head"), F.col("dst").alias("tail"), last.alias("text")))
     while True:
         after = chain.select(F.col("head").alias("tail"), F.col("tail").alias("t2"), F.col("text").alias("x2"))
@@ -95,9 +123,9 @@ def contigs(kmers: DataFrame) -> DataFrame:
         if not new.where("moved").limit(1).count():
             break
     paths = start.join(chain.select(F.col("head").alias("dst"), "text"), "dst", "left").select(
-        F.concat("src", last, F.coalesce("text", F.lit(""))).alias("seq"), "n"
+        F.concat(begin(F.col("src")), last, F.coalesce("text", F.lit(""))).alias("seq"), "n"
     )
-    rings = _rings(inner.join(reached, "src", "left_anti"))
+    rings = _rings(inner.join(reached, "src", "left_anti"), begin, end)
     return paths.unionByName(rings).groupBy("seq").agg(F.sum("n").alias("n"))
 
 
@@ -115,10 +143,10 @@ def _reached(start: DataFrame, inner: DataFrame, simple: DataFrame) -> DataFrame
         jump = stage(x.join(y, "m").select("src", "dst"))
 
 
-def _rings(arcs: DataFrame) -> DataFrame:
+def _rings(arcs: DataFrame, begin, end) -> DataFrame:
     """seq, n: isolated cycles, walked arc by arc; only the walk from a ring's smallest node goes on."""
     loop = stage(arcs)
-    walk = loop.select(F.col("src").alias("head"), F.col("dst").alias("at"), F.expr("src || substring(dst, length(dst), 1)").alias("seq"))
+    walk = loop.select(F.col("src").alias("head"), F.col("dst").alias("at"), F.concat(begin(F.col("src")), end(F.col("dst"))).alias("seq"))
     done = loop.select(F.col("src").alias("seq"), F.lit(1).cast("long").alias("n")).limit(0)
     while True:
         walk = stage(walk.where("at >= head"))
@@ -127,7 +155,7 @@ def _rings(arcs: DataFrame) -> DataFrame:
         if not open_.limit(1).count():
             return done
         walk = open_.join(loop, F.col("at") == F.col("src")).select(
-            "head", F.col("dst").alias("at"), F.expr("seq || substring(dst, length(dst), 1)").alias("seq")
+            "head", F.col("dst").alias("at"), F.concat("seq", end(F.col("dst"))).alias("seq")
         )
 
 

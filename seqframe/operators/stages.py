@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; a local one is set where none is."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="seqframe-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write and read back: lineage ends here.  The folder is spark.checkpoint.dir; a local one is set where none is."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="seqframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/seqframe/{uuid.uuid4().hex}"
+    """Write and read back: lineage ends here."""
+    path = f"{folder(df.sparkSession)}/seqframe/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

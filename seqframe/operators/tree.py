@@ -137,7 +137,8 @@ def max_parsimony_unrooted(edges: DataFrame, leaves: DataFrame, improve: bool =
         return unrooted(key[0], arcs, tips, improve)
 
     kind = edges.schema["tree_id"].dataType.simpleString()
-    return edges.groupBy("tree_id").cogroup(leaves.groupBy("tree_id")).applyInPandas(
+    tips = leaves.select(F.col("tree_id").alias("tip_tree"), "node", "seq")
+    return edges.select("tree_id", "u", "v").groupBy("tree_id").cogroup(tips.groupBy("tip_tree")).applyInPandas(
         run, f"tree_id {kind}, u int, v int, seq_u string, seq_v string, cost int"
     )
 
