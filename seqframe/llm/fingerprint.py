@@ -34,6 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import block_column, documents, per_worker, table
+from .words import word_hashes
 
 IDF_MIN = math.log(5)  # in a fifth of all texts at most
 IDF_MAX = math.log(2000)  # in one of 2,000 at least
@@ -42,26 +43,13 @@ ENOUGH = 24
 LEAST = 4
 BLOCK_ROWS = 2_000
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-_MEMO = 1_000_000
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(b"subset %d" % s) | 1 for s in range(SUBSETS)], np.uint64)
 _SHIFT = np.array([63 - s % RATES for s in range(SUBSETS)], np.uint64)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MEMO:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
-_hashes = _Hashes()
-
-
 def terms(text: str) -> np.ndarray:
     """Distinct terms as ascending 64-bit hashes."""
-    words = set(text.lower().encode("utf-8", "surrogatepass").translate(_SPACED).split())
-    return np.sort(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
+    return np.unique(word_hashes(text.lower().encode("utf-8", "surrogatepass").translate(_SPACED)))
 
 
 def members(term: np.ndarray) -> np.ndarray:

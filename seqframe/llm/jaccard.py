@@ -10,16 +10,19 @@ different texts is lost, and copies are never paired with each other.
    either holds is the same in both.  Nodes that share a part's digest meet; most nodes meet
    nobody and are done.  A node whose n-grams fill too few parts for this argument is
    also keyed by each of its first |x| - ceil(p|x|/q) + 1 n-grams in hash order, under which
-   any two such nodes that link meet.  Sharing a common passage or line fills whole
-   parts by chance only, so frequent passages do not gather documents.
-3. The connected components of that screen are clusters.  Inside each, inverted lists
+   any two such nodes that link meet.  A key that more than HOT_KEY nodes hold is frequent.
+   Linked sets share all parts but D, so a node with fewer frequent keys than that
+   meets each of its partners under another key too: its frequent keys are left out.  So
+   passages and lines that many documents hold do not gather them.
+3. The connected components of that screen, taken for each band alone, are clusters: nodes of the
+   band and of the next one that have met.  Inside each, inverted lists
    (n-gram -> nodes) are searched for every node: a partner needs T = ceil(p|x|/q) or more
    common n-grams.  The L longest lists are set aside, the short ones merged with counts, nodes
    reached fewer than T - L times skipped, and the rest probed in the long lists
    by binary search.  A node already connected is skipped.
-4. A cluster of more than BLOCK_NODES nodes (or BLOCK_GRAMS n-grams) is split in blocks by a hash.
-   Blocks are searched apart; then the nodes outside the cluster's largest
-   component so far are searched against every block.  Nothing is capped.
+4. A cluster of more than BLOCK_NODES nodes (or BLOCK_GRAMS n-grams) is split in blocks by a hash,
+   which are searched apart; then the nodes outside the cluster's largest component so far
+   are searched against every block.  Nothing is capped.
 
 Words are runs of bytes other than ASCII white space, after lower-casing A-Z; a text of fewer
 words than n is one n-gram; one without words has no n-grams and links with nothing.
@@ -37,15 +40,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, drop_stage, stage_table, table
+from .common import documents, drop_stage, free_shuffles, stage_table, table
 from .graph import components
+from .words import word_hashes
 
+HOT_KEY = 64
 BLOCK_NODES = 1024
 BLOCK_GRAMS = 1 << 21
+#: Up to so many rows of five numbers a list of documents is shipped; a longer one is joined by a shuffle.
+SHIP_ROWS = 1_000_000
 #: Weight of the paper's rule for the number of long lists: L = T / (SKIP * log2(longest) + 1).
 SKIP = 0.0085
 _MEMO = 1_000_000
@@ -53,23 +60,11 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MEMO:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
-_hashes = _Hashes()
-
-
 def grams(text: str, n: int) -> np.ndarray:
     """The distinct n-grams of a text as ascending 64-bit hashes."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    w = word_hashes(text.encode("utf-8", "surrogatepass").lower())
+    if not len(w):
+        return w
     k = min(n, len(w))
     out = np.zeros(len(w) - k + 1, np.uint64)
     with np.errstate(over="ignore"):
@@ -122,14 +117,17 @@ def _channels(rule: Rule, x: int) -> list[tuple[int, int]]:
     if got is None:
         most = [rule.differ(top) for top in rule.tops(x)]
         last = len(most) - 1
-        # a tenth and two parts more than needed, for parts that stay empty
-        got = [(c, math.ceil(1.1 * most[c]) + 2 if most[c] else 1) for c in (last, last - 1) if c >= 0]
+        # a fifth and two parts more than needed: for parts that stay empty, and to tell frequent keys apart
+        got = [(c, math.ceil(1.2 * most[c]) + 2 if most[c] else 1) for c in (last, last - 1) if c >= 0]
         _bands[rule, x] = got
     return got
 
 
-def screen(h: np.ndarray, rule: Rule) -> np.ndarray:
-    """Keys of a set; linked sets share at least one."""
+def screen(h: np.ndarray, rule: Rule) -> list[tuple[int, np.ndarray, int]]:
+    """(band, keys, shared) of the one or two bands in which a set meets others.
+
+    Linked sets share at least ``shared`` keys of one band, or 0: those told by prefixes.
+    """
     x = len(h)
     need, safe, out = rule.differ(x), True, []
     low, high = (h & np.uint64(0xFFFFFFFF)).astype(np.float64), (h >> np.uint64(32)).astype(np.float64)
@@ -138,15 +136,16 @@ def screen(h: np.ndarray, rule: Rule) -> np.ndarray:
             part = ((h >> np.uint64(11)) % np.uint64(parts)).astype(np.int64)
             held = np.flatnonzero(np.bincount(part, minlength=parts))
             safe = safe and len(held) > need
+            shared = len(held) - need
             # sums of fewer than 2**20 halves are exact
             a = np.bincount(part, low, parts)[held].astype(np.uint64)
             b = np.bincount(part, high, parts)[held].astype(np.uint64)
             key = (a * _MULT + b) * _MULT + (held.astype(np.uint64) << np.uint64(16)) + np.uint64(2 * band + 1)
-            out.append((key ^ (key >> np.uint64(29))) * _MIX)
+            out.append((band, (key ^ (key >> np.uint64(29))) * _MIX, shared))
         if not safe:
-            first = h[: x - rule.least(x) + 1]
-            out.append((first ^ np.uint64(0x5851F42D4C957F2D)) * _MIX)
-    return np.concatenate(out)
+            first = h[: x - rule.least(x) + 1] ^ np.uint64(0x5851F42D4C957F2D)
+            out = [(band, np.concatenate([key, (first + np.uint64(band)) * _MIX]), 0) for band, key, _ in out]
+    return out
 
 
 def t_occurrence(lists: list[np.ndarray], t: int, n_docs: int, held: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
@@ -229,17 +228,28 @@ def _sets(raw: list[bytes]) -> list[np.ndarray]:
 LINKS = "a long, b long"
 
 
+def _pairs(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+
 def _block_links(rule: Rule):
-    """Links inside a block (rows: node, grams)."""
+    """Links inside a block and to it from the band above (rows: node, grams, query)."""
 
     def run(rows: pa.Table) -> pa.Table:
-        own = dict(zip(rows["node"].to_pylist(), rows["grams"].to_pylist(), strict=True))
+        index: dict[int, bytes] = {}
+        asked: dict[int, bytes] = {}
+        for node, g, query in zip(*(rows[c].to_pylist() for c in ("node", "grams", "query")), strict=True):
+            (asked if query else index)[node] = g
+        if len(index) + len(asked) < 2 or not index:
+            return _pairs([])
         # by size, so that a partner is most often found early
-        nodes = sorted(own, key=lambda x: (len(own[x]), x))
-        sets = _sets([own[x] for x in nodes])
+        nodes = sorted(index, key=lambda x: (len(index[x]), x))
+        sets = _sets([index[x] for x in nodes])
         search = Search(rule, nodes, sets, nodes)
         pairs = [(x, y) for k, x in enumerate(nodes) for y in search.links(x, sets[k], x, k)]
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+        for x in sorted(asked):
+            pairs += [(x, y) for y in search.links(x, np.frombuffer(asked[x], np.uint64), x, len(nodes))]
+        return _pairs(pairs)
 
     return run
 
@@ -252,42 +262,46 @@ def _cross_links(rule: Rule):
         asked: dict[int, tuple] = {}
         for node, g, root, query in zip(*(rows[c].to_pylist() for c in ("node", "grams", "root", "query")), strict=True):
             (asked if query else index)[node] = (g, root)
+        if not index or not asked:
+            return _pairs([])
         nodes = sorted(index)
         search = Search(rule, nodes, _sets([index[x][0] for x in nodes]), [index[x][1] for x in nodes])
         pairs = []
         for x in sorted(asked):
             g, root = asked[x]
             pairs += [(x, y) for y in search.links(x, np.frombuffer(g, np.uint64), root, len(nodes))]
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+        return _pairs(pairs)
 
     return run
 
 
 def nodes_of(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles and node (null: no n-grams) of (doc_id, text)."""
+    """doc_id, n_shingles, node (null: no n-grams) and band of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, nodes = [], []
+            sizes, nodes, bands = [], [], []
             for t in b.column(1).to_pylist():
                 h = grams(t or "", rule.n)
                 sizes.append(len(h))
                 nodes.append(digest(h) if len(h) else None)
+                bands.append(_channels(rule, len(h))[0][0] if len(h) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "node"]
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.int32())],
+                ["doc_id", "n_shingles", "node", "band"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, band int")
 
 
 def keyed(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(key, node): the screen's keys of every text."""
+    """(key, node, shared): the screen's keys of every text; a node is told apart by band, see _in_band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                keys, nodes, sizes = [], [], []
+                keys, nodes, sizes, shared = [], [], [], []
                 for t in b.column(1).slice(at, 512).to_pylist():
                     h = grams(t or "", rule.n)
                     if not len(h) or (node := digest(h)) in done:
@@ -295,88 +309,106 @@ def keyed(docs: DataFrame, rule: Rule) -> DataFrame:
                     if len(done) >= _MEMO:
                         done.clear()
                     done.add(node)  # copies that a task has met say nothing new
-                    own = screen(h, rule)
-                    keys.append(own)
-                    nodes.append(node)
-                    sizes.append(len(own))
+                    for band, own, least in screen(h, rule):
+                        keys.append(own)
+                        shared.append(min(least, 32767))
+                        nodes.append(node ^ _signed(band << 56))
+                        sizes.append(len(own))
                 if keys:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes))],
-                        ["key", "node"],
+                        [
+                            pa.array(np.concatenate(keys).view(np.int64)),
+                            pa.array(np.repeat(np.array(nodes, np.int64), sizes)),
+                            pa.array(np.repeat(np.array(shared, np.int16), sizes)),
+                        ],
+                        ["key", "node", "shared"],
                     )
 
-    return docs.mapInArrow(run, "key long, node long")
+    return docs.mapInArrow(run, "key long, node long, shared short")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _in_band(node, band) -> Column:
+    """The name of a node among those of a band: the band is laid over its highest byte."""
+    return node.bitwiseXOR(F.shiftleft(band.cast("long"), 56))
 
 
 def clusters(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(node, root): the nodes that meet others, by connected component of the screen."""
-    met = keyed(docs, rule).withColumn("a", F.min("node").over(W.partitionBy("key"))).where(F.col("a") != F.col("node"))
-    edges = stage_table(met.select("a", F.col("node").alias("b")).distinct(), "meetings")
+    """(node, root): the nodes that meet others in a band, by connected component of its screen."""
+    at = W.partitionBy("key")
+    met = keyed(docs, rule).withColumn("a", F.min("node").over(at)).withColumn("z", F.max("node").over(at)).withColumn("n", F.count("*").over(at))
+    met = met.where("a <> z").select("key", "node", "shared", "a", (F.col("n") > HOT_KEY).alias("hot"))
+    met = stage_table(met, "meetings")
+    hot = met.where("hot")
+    heavy = hot.groupBy("node").agg(F.count("*").alias("n"), F.min("shared").alias("shared")).where("n >= shared").select("node")
+    kept = hot.join(heavy, "node", "left_semi").select("key", "node").withColumn("a", F.min("node").over(at))
+    edges = met.where("not hot").select("a", "node").unionByName(kept.select("a", "node")).where("a <> node")
+    edges = stage_table(edges.select("a", F.col("node").alias("b")).distinct(), "meetings")
+    drop_stage(met)
     out = components(edges)
     drop_stage(edges)
     return out
 
 
-def gram_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(node, grams) of the ``wanted`` (doc_id, node)."""
+def gram_sets(docs: DataFrame, placed: DataFrame, rule: Rule) -> DataFrame:
+    """The columns of ``placed`` (which has the node and a doc_id of it) and grams."""
+    columns = [f for f in placed.schema.fields if f.name != "doc_id"]
+    names = [f.name for f in columns]
+    at = names.index("node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                nodes, raw = [], []
-                for t, node in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    h = grams(t or "", rule.n)
-                    if len(h) and digest(h) == node:
-                        nodes.append(node)
-                        raw.append(h.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(raw, pa.binary())], ["node", "grams"])
-
-    rows = docs.join(wanted, "doc_id").select("text", "node")
-    return rows.mapInArrow(run, "node long, grams binary")
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                sets = [grams(t or "", rule.n) for t in part.column(len(names)).to_pylist()]
+                # of rows that share a doc_id, those with another set are no part of this node
+                own = [len(h) > 0 and digest(h) == node for h, node in zip(sets, part.column(at).to_pylist(), strict=True)]
+                raw = pa.array([h.tobytes() for h in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], raw], [*names, "grams"]).filter(pa.array(own, pa.bool_()))
+
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns)
+    if placed.count() <= SHIP_ROWS:
+        placed = F.broadcast(placed)
+    return docs.join(placed, "doc_id").select(*names, "text").mapInArrow(run, f"{shape}, grams binary")
+
+
+def _placed(met: DataFrame, first: DataFrame) -> DataFrame:
+    """cluster, sub (block), node, doc_id, upper (the node is of the next band), blocks of the cluster."""
+    bands = F.filter(F.array(F.col("band"), F.col("band") - 1), lambda b: b >= 0)
+    each = first.select("node", "first", "n", "band", F.explode(bands).alias("in_band"))
+    named = each.withColumn("name", _in_band(F.col("node"), F.col("in_band")))
+    inside = met.select(F.col("node").alias("name"), F.col("root").alias("cluster")).join(named, "name").select(
+        "cluster", "node", F.col("first").alias("doc_id"), "n", (F.col("in_band") < F.col("band")).alias("upper")
+    )
+    sizes = inside.groupBy("cluster").agg(F.count("*").alias("nodes"), F.count_if(~F.col("upper")).alias("own"), F.sum("n").alias("grams"))
+    blocks = F.ceil(F.greatest(F.col("nodes") / BLOCK_NODES, F.col("grams") / BLOCK_GRAMS)).cast("int")
+    # two nodes of the next band alone meet in that band too
+    sizes = sizes.where("own > 0 and nodes > 1").select("cluster", blocks.alias("blocks"))
+    sub = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    return inside.join(sizes, "cluster").select("cluster", sub.alias("sub"), "node", "doc_id", "upper", "blocks")
 
 
 def join(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of (doc_id, text)."""
-    rule = Rule(n, p, q)
+    rule, spark = Rule(n, p, q), docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = stage_table(nodes_of(docs, rule), "nodes")
     first = known.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("n_shingles").alias("n")
+        F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.max("band").alias("band")
     )
+    first = stage_table(first, "first")
     met = stage_table(clusters(docs.where(F.col("doc_id").isNotNull()), rule), "clusters")
-    inside = met.join(first, "node")
-    sizes = met.join(first, "node").groupBy("root").agg(F.count("*").alias("nodes"), F.sum("n").alias("grams"))
-    blocks = F.ceil(F.greatest(F.col("nodes") / BLOCK_NODES, F.col("grams") / BLOCK_GRAMS)).cast("int")
-    placed = inside.join(sizes.select("root", blocks.alias("blocks")), "root").select(
-        F.col("root").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "node", F.col("first").alias("doc_id")
-    )
-    placed = stage_table(placed, "placed")
-    sets = gram_sets(docs, placed.select("doc_id", "node"), rule)
-    sets = stage_table(sets.join(placed.drop("doc_id"), "node"), "sets")
-    inner = stage_table(sets.groupBy("cluster", "block").applyInArrow(_block_links(rule), LINKS), "links")
-    linked = stage_table(components(inner), "linked")
-    # clusters of several blocks: what is not in the largest component yet is asked of every block
-    wide = sets.where(F.col("blocks") > 1).join(linked.select("node", F.col("root").alias("r")), "node", "left")
-    wide = wide.withColumn("root", F.coalesce("r", "node")).drop("r")
-    share = wide.groupBy("cluster", "root").agg(F.count_distinct("node").alias("n"))
-    most = share.groupBy("cluster").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("nodes"), F.max("n").alias("in_main"))
-    most = most.withColumn("ask_blocks", F.ceil((F.col("nodes") - F.col("in_main")) / BLOCK_NODES).cast("int")).where("ask_blocks > 0")
-    wide = wide.join(most.select("cluster", "main", "ask_blocks"), "cluster")
-    columns = ["cluster", "block", "part", "node", "grams", "root", "query"]
-    index = wide.select(
-        "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("part"), "node", "grams", "root", F.lit(False).alias("query")
-    )
-    asked = wide.where(F.col("root") != F.col("main")).select(
-        "cluster",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64("node", F.lit(1)), "ask_blocks").cast("int").alias("part"),
-        "node", "grams", "root", F.lit(True).alias("query"),
-    )
-    outer = index.select(columns).unionByName(asked.select(columns)).groupBy("cluster", "block", "part").applyInArrow(_cross_links(rule), LINKS)
-    outer = stage_table(outer, "links")
-    drop_stage(sets)
-    labels = components(inner.unionByName(outer).unionByName(_shared_ids(known)))
+    placed = stage_table(_placed(met, first), "placed")
+    free_shuffles(spark)
+    inner = stage_table(_within(docs, placed, rule), "links")
+    free_shuffles(spark)
+    outer = _across(docs, placed.where("blocks > 1"), inner, rule)
+    links = inner.unionByName(outer)
+    shared = _shared_ids(known)
+    labels = components(links if shared is None else links.unionByName(shared))
     roots = first.join(labels, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     final = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     by_node = roots.join(final, "root").select("node", "component_id")
@@ -384,10 +416,43 @@ def join(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
     return got.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _shared_ids(known: DataFrame) -> DataFrame:
-    """Links between the nodes of rows that share a doc_id."""
+def _within(docs: DataFrame, placed: DataFrame, rule: Rule) -> DataFrame:
+    """Links inside each block: between nodes of its band, and from those of the next band to them."""
+    sets = gram_sets(docs, placed.select("cluster", "sub", "node", "doc_id", F.col("upper").alias("query")), rule)
+    return sets.groupBy("cluster", "sub").applyInArrow(_block_links(rule), LINKS)
+
+
+def _across(docs: DataFrame, wide: DataFrame, inner: DataFrame, rule: Rule) -> DataFrame:
+    """Links between blocks of the same cluster, given the links found so far."""
+    if not wide.limit(1).count():
+        return docs.sparkSession.createDataFrame([], LINKS)
+    linked = components(inner.join(wide.select(F.col("node").alias("a")).distinct(), "a", "left_semi"))
+    wide = wide.join(linked.select("node", F.col("root").alias("r")), "node", "left")
+    wide = stage_table(wide.withColumn("root", F.coalesce("r", "node")).drop("r", "upper"), "wide")
+    share = wide.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    most = share.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("nodes"))
+    parts = F.ceil((F.col("nodes") - F.col("m.n")) / (4 * BLOCK_NODES)).cast("int")
+    most = most.select("cluster", F.col("m.root").alias("main"), parts.alias("parts")).where("parts > 0")
+    sets = gram_sets(docs, wide.join(most, "cluster"), rule)
+
+    def row(sub: Column, part: Column, query: bool) -> Column:
+        return F.struct(sub.cast("int").alias("sub"), part.cast("int").alias("part"), F.col("node"), F.col("grams"), F.col("root"), F.lit(query).alias("query"))
+
+    index = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: row(F.col("sub"), i, False))
+    part = F.pmod(F.xxhash64("node", F.lit(2)), "parts")
+    # a block has been searched for its own nodes
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != F.col("sub"))
+    ask = F.transform(F.when(F.col("root") != F.col("main"), others).otherwise(F.array().cast("array<int>")), lambda i: row(i, part, True))
+    rows = sets.select("cluster", F.inline(F.concat(index, ask)))
+    return stage_table(rows.groupBy("cluster", "sub", "part").applyInArrow(_cross_links(rule), LINKS), "links")
+
+
+def _shared_ids(known: DataFrame) -> DataFrame | None:
+    """Links between the nodes of rows that share a doc_id, if there are such."""
     ids = known.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"))
     odd = ids.where(F.col("a") != F.col("z")).select("doc_id", "a")
+    if not odd.limit(1).count():
+        return None
     return odd.join(known.select("doc_id", F.col("node").alias("b")), "doc_id").where("b is not null and b != a").select("a", "b")
 
 
