@@ -82,22 +82,32 @@ def _load(path: str):
 _encoder = per_worker(_load)
 
 
+TOKENS = "doc_id long, ids binary, wide boolean, counts binary"
+
+
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (binary, 16 bits each; 32 for a vocabulary over 65,536), the end id included."""
+    """doc_id and ids (binary, 16 bits each; 32 for a vocabulary over 65,536), the end id included.
+
+    The last row of a task has no ids but ``counts``: how often each id came in the task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
         end = END_ID.to_bytes(4 if enc.wide else 2, "little")
+        total = np.zeros(enc.tok.get_vocab_size(), np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 ids = [enc.encode(t or "") + end for t in part.column(1).to_pylist()]
+                total += np.bincount(_ids(b"".join(ids), enc.wide), minlength=len(total))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.array([enc.wide] * len(ids))],
-                    ["doc_id", "ids", "wide"],
+                    [part.column(0), pa.array(ids, pa.binary()), pa.array([enc.wide] * len(ids)), pa.nulls(len(ids), pa.binary())],
+                    ["doc_id", "ids", "wide", "counts"],
                 )
+        row = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([enc.wide]), pa.array([total.tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(row, ["doc_id", "ids", "wide", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, wide boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, TOKENS)
 
 
 def _ids(raw: bytes, wide: bool) -> np.ndarray:
@@ -105,19 +115,17 @@ def _ids(raw: bytes, wide: bool) -> np.ndarray:
 
 
 def count_ids(tokens: DataFrame) -> DataFrame:
-    """id and n over all documents; a task sends at most one row for each id of the vocabulary."""
+    """id and n over all documents, from the counts of the tasks; a task sends at most one row for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for b in batches:
-            for raw, wide in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = np.bincount(_ids(raw, wide), minlength=len(total))
-                got[: len(total)] += total
-                total = got
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
+            for raw in b.column(0).to_pylist():
+                n = np.frombuffer(raw, np.int64)
+                ids = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n[ids], pa.int64())], ["id", "n"])
 
-    return tokens.select("ids", "wide").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    told = tokens.select("counts").where(F.col("counts").isNotNull())
+    return told.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def frames(tokens: DataFrame, rank_of: np.ndarray) -> DataFrame:
@@ -155,7 +163,7 @@ def frames(tokens: DataFrame, rank_of: np.ndarray) -> DataFrame:
         if parts:
             yield emit(ids, parts)
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = tokens.where(F.col("counts").isNull()).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return ordered.select("doc_id", "ids", "wide").mapInArrow(run, FRAMES)
 
 

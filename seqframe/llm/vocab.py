@@ -9,15 +9,27 @@ size; unknown pieces go through the tokenizers library.
 
 from __future__ import annotations
 
+from array import array
+
 import regex
 from tokenizers import Tokenizer
 
-#: Entries kept before the dictionary starts anew.
-MEMO = 1_500_000
+#: Entries kept in each of two generations.
+MEMO = 750_000
 _IRREGULAR = regex.compile(r"\s ")
+_ASCII_RUNS = [a + " " for a in " \t\n\v\f\r"]
 _CUT = regex.compile(r"(?<=\S)(?= )")
 
 
+#: One of these after a word is a piece of its own.
+_STOPS = frozenset(".,;:!?")
+
+
+def _is_latin(word: str) -> bool:
+    """Letters only, of the scripts whose classes no Unicode version has changed: one piece with the space before it."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
 class Encoder:
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
@@ -29,8 +41,10 @@ class Encoder:
         self.letters = {b: c for b, c in enumerate(self._byte_letters())}
         self.ascii = {b: c for b, c in self.letters.items() if b < 128}
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.wide = self.tok.get_vocab_size() > 1 << 16
+        self.code = "I" if self.wide else "H"
 
     @staticmethod
     def _byte_letters() -> list[str]:
@@ -39,14 +53,18 @@ class Encoder:
         rest = iter(range(256, 512))
         return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
+    def _merge(self, piece: str) -> bytes:
+        """Ids of one piece of the split, by the library's merges."""
+        if piece.isascii():
+            mapped = piece.translate(self.ascii)
+        else:
+            mapped = "".join(map(self.letters.__getitem__, piece.encode()))
+        return array(self.code, [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            if piece.isascii():
-                mapped = piece.translate(self.ascii)
-            else:
-                mapped = "".join(map(self.letters.__getitem__, piece.encode()))
-            got = b"".join(t.id.to_bytes(4 if self.wide else 2, "little") for t in self.tok.model.tokenize(mapped))
+            got = self._merge(piece)
             if len(self.pieces) >= MEMO:
                 self.pieces.clear()
             self.pieces[piece] = got
@@ -59,21 +77,35 @@ class Encoder:
         """The ids as little-endian 16-bit numbers (32-bit for a vocabulary over 65,536)."""
         if any(s in text for s in self.special):
             ids = self.tok.encode(text, add_special_tokens=False).ids
-            return b"".join(i.to_bytes(4 if self.wide else 2, "little") for i in ids)
-        chunks = self.chunks
-        if _IRREGULAR.search(text):
-            words = _CUT.split(text)
-            out = [self._chunk(words[0])]
-            words = [w[1:] for w in words[1:]]
-        else:
+            return array(self.code, ids).tobytes()
+        regular = not any(x in text for x in _ASCII_RUNS) and (text.isascii() or not _IRREGULAR.search(text))
+        if regular:
             words = text.split(" ")
-            out = [self._chunk(words[0])]
-            del words[0]
-        for w in words:
-            got = chunks.get(w)
+            head = words.pop(0)
+        else:
+            words = _CUT.split(text)
+            head = words.pop(0)
+            words = [w[1:] for w in words]
+        out = list(map(self.chunks.get, words))
+        if None in out:
+            for k, got in enumerate(out):
+                if got is None:
+                    out[k] = self._word(words[k])
+        return self._chunk(head) + b"".join(out)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word after a space; two generations of entries keep the memory bounded and the frequent ones."""
+        got = self.chunks.get(word)
+        if got is None:
+            got = self.older.get(word)
             if got is None:
-                if len(chunks) >= MEMO:
-                    chunks.clear()
-                got = chunks[w] = self._chunk(" " + w)
-            out.append(got)
-        return b"".join(out)
+                if _is_latin(word):
+                    got = self._merge(" " + word)
+                elif word[-1:] in _STOPS and _is_latin(word[:-1]):
+                    got = self._word(word[:-1]) + self._piece(word[-1])
+                else:
+                    got = self._chunk(" " + word)
+            if len(self.chunks) >= MEMO:
+                self.older, self.chunks = self.chunks, {}
+            self.chunks[word] = got
+        return got
