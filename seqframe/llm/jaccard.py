@@ -49,8 +49,8 @@ from .graph import components
 from .words import word_hashes
 
 HOT_KEY = 64
-BLOCK_NODES = 1024
-BLOCK_GRAMS = 1 << 21
+BLOCK_NODES = 4096
+BLOCK_GRAMS = 1 << 22
 #: Up to so many rows of five numbers a list of documents is shipped; a longer one is joined by a shuffle.
 SHIP_ROWS = 1_000_000
 #: Weight of the paper's rule for the number of long lists: L = T / (SKIP * log2(longest) + 1).
