@@ -263,6 +263,20 @@ def test_main_text(spark):
     assert (got[9], got[10], got[12]) == ("", "plain text <3", "")
 
 
+def page_texts(spark, pages):
+    rows = [(i, "http://a.example/", p) for i, p in enumerate(pages)]
+    return [r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("n", [1, 6])
+def test_headline_and_lead_stay(spark, n):
+    page = "<body><nav>menu</nav><article><header><h1>Head {0}</h1></header><div class=lead>Lead {0}</div><div class=body><p>{1}</p></div></article></body>"
+    long = ["long text " * 20 + str(i) for i in range(n)]
+    assert page_texts(spark, [page.format(i, x) for i, x in enumerate(long)]) == [f"Head {i}\nLead {i}\n{x}" for i, x in enumerate(long)]
+    parts = "<body><section id=a><p>Short {0}</p></section><section id=b><p>{1}</p></section></body>"
+    assert page_texts(spark, [parts.format(i, x) for i, x in enumerate(long)]) == [f"Short {i}\n{x}" for i, x in enumerate(long)]
+
+
 # ---- 9 decontamination ----------------------------------------------------------
 
 
