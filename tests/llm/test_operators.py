@@ -277,6 +277,16 @@ def test_headline_and_lead_stay(spark, n):
     assert page_texts(spark, [parts.format(i, x) for i, x in enumerate(long)]) == [f"Short {i}\n{x}" for i, x in enumerate(long)]
 
 
+def test_template_texts_go_in_spite_of_deviating_pages(spark):
+    page = "<body><div>Our site</div><article><h1>T{0}</h1><p>Text {0}</p><p>Shared line {1}</p></article><div><p>All rights kept</p></div></body>"
+    odd = [None, "", "<body><ul><li>One</li><li>Two</li></ul></body>"]
+    got = page_texts(spark, [page.format(i, i // 4) for i in range(8)] + odd)
+    assert got == [f"T{i}\nText {i}\nShared line {i // 4}" for i in range(8)] + ["", "", "One\nTwo"]
+    # copies are no template, nor is what two pages of a host share
+    assert page_texts(spark, [page.format(1, 1)] * 4) == ["Our site\nT1\nText 1\nShared line 1\nAll rights kept"] * 4
+    assert page_texts(spark, [page.format(i, 1) for i in range(2)])[0].startswith("Our site\n")
+
+
 # ---- 9 decontamination ----------------------------------------------------------
 
 
