@@ -287,6 +287,14 @@ def test_template_texts_go_in_spite_of_deviating_pages(spark):
     assert page_texts(spark, [page.format(i, 1) for i in range(2)])[0].startswith("Our site\n")
 
 
+def test_names_that_only_contain_a_chrome_word(spark):
+    page = (
+        "<body><div class='content has-sidebar'><section id='legal-form'><h2 id='share-of-market'>Share {0}</h2><p class='notice'>Period {0}</p></section></div>"
+        "<div class='layout no-comments'>Rest {0}</div><div class='box ad'>buy {0}</div><div role=navigation>menu {0}</div></body>"
+    )
+    assert page_texts(spark, [page.format(i) for i in range(4)]) == [f"Share {i}\nPeriod {i}\nRest {i}" for i in range(4)]
+
+
 # ---- 9 decontamination ----------------------------------------------------------
 
 
