@@ -162,11 +162,13 @@ def _rings(arcs: DataFrame, begin, end) -> DataFrame:
 def overlap_assembly(seqs: DataFrame, limit: int = 10_000) -> DataFrame:
     """seq: fragments merged greedily by their longest overlaps of at least half the shorter one.
 
-    A greedy merge is one sequence of choices, so it runs in one task, for at most ``limit`` distinct
+    Fragments with a column ``id`` are merged for each id apart, which is returned first.  A greedy merge
+    is one sequence of choices, so it runs in one task, for at most ``limit`` distinct
     fragments; overlaps are compared whole, and equal fragments count once.  No rows when they do
     not all join.
     """
-    if seqs.select("seq").distinct().count() > limit:
+    own = ["id"] if "id" in seqs.columns else []
+    if seqs.select(*own, "seq").distinct().groupBy(*own).count().where(F.col("count") > limit).limit(1).count():
         raise ValueError(f"more than {limit} fragments")
 
     def run(table):
@@ -186,11 +188,12 @@ def overlap_assembly(seqs: DataFrame, limit: int = 10_000) -> DataFrame:
                             break
             n, s, t = best
             if not n:
-                return pd.DataFrame({"seq": pd.Series([], dtype=object)})
+                return pd.DataFrame({k: pd.Series([], dtype=table[k].dtype) for k in [*own, "seq"]})
             parts = sorted({p for p in parts if p not in (s, t)} | {s + t[n:]})
-        return pd.DataFrame({"seq": parts})
+        return pd.DataFrame({**{k: table[k].iloc[:1].tolist() for k in own}, "seq": parts})
 
-    return seqs.select("seq").groupBy(F.lit(1).alias("g")).applyInPandas(run, "seq string")
+    kind = "".join(f"id {seqs.schema[k].dataType.simpleString()}, " for k in own)
+    return seqs.select(*own, "seq").groupBy(*(own or [F.lit(1).alias("g")])).applyInPandas(run, f"{kind}seq string")
 
 
 def partial_digest(instances: DataFrame) -> DataFrame:

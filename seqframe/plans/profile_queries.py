@@ -292,9 +292,8 @@ def pair_contigs(t):
 
 @query()
 def overlap_assembly(t):
-    one = t.nations.where("id = 0").select("seq")
     at = F.transform(F.sequence(F.lit(1), F.lit(17), F.lit(4)), lambda i: F.substring("seq", i, F.lit(16)))
-    return assembly.overlap_assembly(one.select(F.explode(at).alias("seq")))
+    return assembly.overlap_assembly(t.nations.select("id", F.explode(at).alias("seq")))
 
 
 @query()

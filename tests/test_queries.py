@@ -44,3 +44,15 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", [n for n, (_, sql) in REGISTRY.items() if not sql])
 def test_runs(spark, name):
     assert REGISTRY[name][0](Tables(spark, SF)).count() > 0
+
+
+def test_assembly_joins_the_reads_of_every_nation(spark):
+    t = Tables(spark, SF)
+    want = {r["id"]: r["seq"] for r in t.nations.collect()}
+    assert {r["id"]: r["seq"] for r in REGISTRY["overlap_assembly"][0](t).collect()} == want
+
+
+def test_sequencing_covers_every_part(spark):
+    t = Tables(spark, SF)
+    got = {r["spec_id"] for r in REGISTRY["cyclic_sequencing"][0](t).collect()}
+    assert got == {r["id"] for r in t.peptides.collect()}
