@@ -8,14 +8,15 @@ insult marks a text, however long the rest is.
 
 Landmarks.  Nyström's method with strings that occur in toxic training texts: greedily those
 that the most toxic and hardly any clean texts hold, the longer on ties; words that hold a
-chosen string count no more.
+chosen string count no more.  SUPPORT distinct texts are enough, whatever their number; if no string
+has them, one is enough.  MAX_LANDMARKS are taken at most; strings shorter than ORDER bytes have no kernel value.
 Features are the kernel values times the inverse root of the landmarks' own kernel
 matrix, and the largest kernel value of all landmarks; a linear SVM with a logistic link on its margin gives the score.
 
 Words: the lower-cased text without ASCII punctuation (so ``i-d-i-o-t`` closes up), cut at
 white space; three or more single letters in a row are one word; a word longer than
-WINDOW bytes is read in overlapping windows.  A word is compared with a landmark if it holds
-all of its letters, in any order; else their value is 0.
+WINDOW bytes is read in overlapping windows.  A word is compared with a landmark unless it shares too few
+of its letters for a common subsequence of ORDER bytes, so that their value is 0.
 
 Training uses a bounded sample: TRAIN_TOXIC and TRAIN_CLEAN labelled rows at most
 (the lowest by a hash of the id) whose text has at most TRAIN_CHARS characters, never
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +44,7 @@ ORDER = 4
 DECAY = 0.7
 MAX_LANDMARKS = 64
 LANDMARK_BYTES = (4, 8)
+SUPPORT = 3
 BEST = 4.0
 TRAIN_TOXIC = 1500
 TRAIN_CLEAN = 3000
@@ -101,10 +104,45 @@ def _bit(a: np.ndarray) -> np.ndarray:
     return np.uint64(1) << (a & 63).astype(np.uint64)
 
 
+def _least_shared(mark: bytes) -> int:
+    """Fewest different letters of ``mark`` that make up ORDER of its bytes."""
+    total = 0
+    for n, times in enumerate(sorted(Counter(b & 63 for b in mark).values(), reverse=True), 1):
+        total += times
+        if total >= ORDER:
+            return n
+    return len(mark) + 1
+
+
+def _meet(columns: np.ndarray, mark: bytes) -> np.ndarray:
+    """Whether words (a column each, zeros past their ends) have a common subsequence of ORDER bytes with ``mark``: by bits."""
+    places = np.zeros(256, np.uint16)
+    for j, c in enumerate(mark):
+        places[c] |= 1 << j
+    full = np.uint16((1 << len(mark)) - 1)
+    v = np.full(columns.shape[1], full, np.uint16)
+    for row in columns:
+        u = v & places[row]
+        v = ((v + u) | (v - u)) & full
+    return len(mark) - np.bitwise_count(v) >= ORDER
+
+
+def _matrices(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Numbers and bytes of the words of like length."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    out = []
+    for lo, hi in ((ORDER, 6), (7, 8), (9, 12), (13, 20), (21, WINDOW)):
+        at = np.flatnonzero((size >= lo) & (size <= hi))
+        if len(at):
+            rows = np.frombuffer(b"".join(words[k].ljust(hi, b"\0") for k in at.tolist()), np.uint8)
+            out.append((at, np.ascontiguousarray(rows.reshape(len(at), hi).T)))
+    return out
+
+
 def features(texts: list[str], marks: list[bytes], own: np.ndarray) -> np.ndarray:
     """Largest kernel value of any word, a row for each text and a column for each landmark."""
     out = np.zeros((len(texts), len(marks)))
-    need = [np.bitwise_or.reduce(_bit(np.frombuffer(m, np.uint8))) for m in marks]
+    need = [(np.bitwise_or.reduce(_bit(np.frombuffer(m, np.uint8))), _least_shared(m)) for m in marks]
     held, docs, size = [], [], 0
 
     def flush() -> None:
@@ -119,21 +157,33 @@ def features(texts: list[str], marks: list[bytes], own: np.ndarray) -> np.ndarra
             return
         starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
         ends = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
-        letters = np.bitwise_or.reduceat(np.where(space, np.uint64(0), _bit(a)), starts)
         first = np.cumsum([0] + [len(h) + 1 for h in held])[:-1]
         doc = np.searchsorted(first, starts, side="right") - 1
-        for k, mark in enumerate(marks):
-            at = np.flatnonzero((letters & need[k]) == need[k])
-            if not len(at):
+        words: dict[bytes, int] = {}
+        pairs = []
+        for s, e, d in zip(starts.tolist(), ends.tolist(), doc.tolist(), strict=True):
+            if e - s < ORDER:
                 continue
-            words: dict[bytes, int] = {}
-            pairs = []
-            for s, e, d in zip(starts[at].tolist(), ends[at].tolist(), doc[at].tolist(), strict=True):
-                for w in range(s, max(s + 1, e - WINDOW // 2), WINDOW // 2):
-                    pairs.append((words.setdefault(buf[w : min(e, w + WINDOW)], len(words)), d))
-            value = np.minimum(1, kernel(list(words), mark) / own[k])
-            w, d = np.array(pairs).T
-            np.maximum.at(out[:, k], np.array(docs)[d], value[w])
+            for w in range(s, max(s + 1, e - WINDOW // 2), WINDOW // 2):
+                pairs.append((words.setdefault(buf[w : min(e, w + WINDOW)], len(words)), d))
+        if pairs:
+            each = list(words)
+            whole = np.frombuffer(b"".join(each), np.uint8)
+            letters = np.bitwise_or.reduceat(_bit(whole), np.cumsum([0, *map(len, each)])[:-1])
+            w, d = np.unique(np.array(pairs), axis=0).T
+            d = np.array(docs)[d]
+            groups = _matrices(each)
+            for k, mark in enumerate(marks):
+                mask, shared = need[k]
+                value = np.zeros(len(each))
+                near = np.bitwise_count(letters & mask) >= shared
+                for at, columns in groups:
+                    some = np.flatnonzero(near[at])
+                    some = some[_meet(columns[:, some], mark)]
+                    if len(some):
+                        value[at[some]] = np.minimum(1, kernel([each[j] for j in at[some].tolist()], mark) / own[k])
+                hit = np.flatnonzero(value[w])
+                np.maximum.at(out[:, k], d[hit], value[w[hit]])
         held, docs, size = [], [], 0
 
     for i, t in enumerate(texts):
@@ -177,10 +227,9 @@ def _grams(raw: bytes, distinct: bool = True) -> dict[int, tuple[np.ndarray, np.
     return out
 
 
-def landmarks(toxic: list[bytes], clean: list[bytes], most: int = MAX_LANDMARKS) -> list[bytes]:
-    """Strings that many toxic and hardly any clean texts hold, chosen greedily."""
+def landmarks(toxic: list[bytes], clean: list[bytes], most: int = MAX_LANDMARKS, least: int = SUPPORT) -> list[bytes]:
+    """Strings that ``least`` toxic texts or more and hardly any clean ones hold, chosen greedily."""
     toxic = sorted(set(toxic))  # copies count once
-    least = max(3, len(toxic) // 50)
     rows = [np.concatenate([g for g, _ in _grams(t).values()] or [np.zeros(0, np.uint64)]) for t in toxic]
     every, df = np.unique(np.concatenate(rows), return_counts=True) if rows else (np.zeros(0, np.uint64), np.zeros(0))
     every, df = every[df >= least], df[df >= least]
@@ -206,15 +255,26 @@ def landmarks(toxic: list[bytes], clean: list[bytes], most: int = MAX_LANDMARKS)
     # each text of the clean class that holds a string takes away as much as three toxic ones of its size add
     price = 3 * len(toxic) / max(1, len(clean))
     out: list[bytes] = []
-    while spots and len(out) < most:
-        gain = {x: len({i for i, _ in v}) for x, v in spots.items()}
+    inside: dict[tuple[int, int], list[int]] = {}  # strings that a (text, word) pair holds
+    for x, v in spots.items():
+        for pair in v:
+            inside.setdefault(pair, []).append(x)
+    gain = {x: len({i for i, _ in v}) for x, v in spots.items()}
+    while gain and len(out) < most:
         key = max(gain, key=lambda x: (gain[x] - price * held[x], len(name[x]), name[x]))
         if gain[key] < least:
             break
         mark = name[key]
         out.append(mark)
-        gone = {(i, k) for i, k in set().union(*spots.values()) if mark in words[i][k]}
-        spots = {x: left for x, v in spots.items() if (left := v - gone)}
+        touched = set()
+        for pair in [(i, k) for i, k in inside if mark in words[i][k]]:
+            for x in inside.pop(pair):
+                spots[x].discard(pair)
+                touched.add(x)
+        for x in touched:
+            gain[x] = len({i for i, _ in spots[x]})
+            if not gain[x]:
+                del gain[x]
     return out
 
 
@@ -241,7 +301,8 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
     if not (y > 0).any() or not (y < 0).any():
         return None
     raw = [prepared(t) for t in texts]
-    marks = landmarks([r for r, v in zip(raw, y, strict=True) if v > 0], [r for r, v in zip(raw, y, strict=True) if v < 0])
+    bad, good = ([r for r, v in zip(raw, y, strict=True) if v == k] for k in (1, -1))
+    marks = landmarks(bad, good) or landmarks(bad, good, least=1)
     if not marks:
         return None
     own = np.array([kernel([m], m)[0] for m in marks])

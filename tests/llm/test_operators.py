@@ -233,6 +233,21 @@ def test_toxicity_tolerates_inserted_characters():
     assert toxicity.train(["a"], [1]) is None
 
 
+def test_toxicity_of_rare_and_altered_insults():
+    rng = random.Random(7)
+    plain = ["".join(rng.choice(("ther", "on", "ing", "ea", "st")) for _ in range(rng.randint(1, 4))) for _ in range(100)]
+    insults = ["".join(rng.choices("bdfkmpuwxz", k=7)) for _ in range(60)]
+    clean = [" ".join(rng.choices(plain, k=20)) + f" {i}" for i in range(700)]
+    bad = [c + " " + insults[i % 60] for i, c in enumerate(clean[:300])]
+    model = toxicity.train(clean[300:600] + bad, [0] * 300 + [1] * 300)
+    scores = model.scores([clean[650] + " " + w for w in insults] + clean[600:])
+    assert (scores[:60] > 0.5).mean() > 0.9 and (scores[60:] < 0.5).mean() > 0.9
+    own = toxicity.kernel([b"stupid"], b"stupid")
+    value = toxicity.features(["stpid", "stup1d", "stop", "other words"], [b"stupid"], own)[:, 0]
+    want = toxicity.kernel([b"stpid", b"stup1d"], b"stupid") / own[0]
+    assert value[:2] == pytest.approx(want) and (want > 0).all() and (value[2:] == 0).all()
+
+
 def test_language_codes_are_complete():
     model = langid.train({"x": [b"abra cadabra abra"], "y": [b"hello hallo hullo"]}, order=2)
     cells = langid.costs(model).reshape(2, -1, model.n_classes)
