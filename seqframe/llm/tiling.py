@@ -10,13 +10,14 @@ hashes of each whole document are looked up in it.  Seeds on one diagonal that t
 form the maximal runs, which are compared token by token; then the longest unmarked run is marked
 again and again, and what a mark cuts off a shorter run goes back into the queue.
 
-Tokens: runs of letters and digits of the lower-cased text; all else separates.
+Tokens: runs of letters and digits of the lower-cased text, single characters of scripts that
+write no spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer); all else separates.
 
 Scale: documents are read once and never shuffled.  Items are shipped to the tasks in
 blocks of at most BLOCK_BYTES of text; a larger benchmark adds blocks, not size.
 
 Cases: null and empty texts are clean, coverage 0; an item of fewer than MIN_TILE tokens
-never matches; equal items are both reported; equal lengths go to the earlier
+matches as one exact run; equal items are both reported; equal lengths go to the earlier
 place in the item, then in the document; an empty benchmark leaves all clean.
 """
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import pickle
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +43,7 @@ RESULT = "coverage double, item_ids array<bigint>"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Everything in ASCII but letters and digits separates tokens.
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _MEMO = 1_000_000
 
 
@@ -56,6 +59,8 @@ _hashes = _Hashes()
 
 
 def tokens(text: str) -> np.ndarray:
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \g<0> ", text)
     words = text.lower().encode("utf-8", "surrogatepass").translate(_SPACED).split()
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
@@ -113,6 +118,7 @@ class Index:
     first: np.ndarray  # slice of ``where`` of each hash
     where: np.ndarray  # (item, place) pairs
     filter: np.ndarray
+    short: dict[int, dict[int, list[int]]]  # items below MIN_TILE tokens, by length and hash
 
     @staticmethod
     def build(rows: list[tuple[int, str]]) -> Index:
@@ -120,26 +126,31 @@ class Index:
         each = [seeds(x) for x in items]
         h = np.concatenate(each) if each else np.zeros(0, np.uint64)
         where = np.array([(i, p) for i, s in enumerate(each) for p in range(len(s))], np.int64).reshape(-1, 2)
+        short: dict[int, dict[int, list[int]]] = {}
+        for i, x in enumerate(items):
+            if 0 < len(x) < MIN_TILE:
+                short.setdefault(len(x), {}).setdefault(int(seeds(x, len(x))[0]), []).append(i)
         order = np.argsort(h, kind="stable")
         hashes, first = np.unique(h[order], return_index=True)
         low = np.zeros(1 << 20, bool)
         low[(hashes & np.uint64(0xFFFFF)).astype(np.int64)] = True
-        return Index([int(i) for i, _ in rows], items, hashes, np.append(first, len(h)), where[order], low)
+        return Index([int(i) for i, _ in rows], items, hashes, np.append(first, len(h)), where[order], low, short)
 
     def match(self, text: str, least: float) -> tuple[float, list[int]]:
         """Best coverage of any item, and the ids of those covered enough."""
         doc = tokens(text)
         h = seeds(doc)
         at = np.flatnonzero(self.filter[(h & np.uint64(0xFFFFF)).astype(np.int64)])
+        whole = [i for n, own in self.short.items() for g in set(seeds(doc, n).tolist()) & own.keys() for i in own[g]]
+        best, found = (1.0, [self.ids[i] for i in whole]) if whole else (0.0, [])
         if not len(at) or not len(self.hashes):
-            return 0.0, []
+            return best, sorted(found)
         k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
         hit = self.hashes[k] == h[at]
         pairs: dict[int, list[tuple[int, int]]] = {}
         for t, j in zip(at[hit].tolist(), k[hit].tolist(), strict=True):
             for i, p in self.where[self.first[j] : self.first[j + 1]].tolist():
                 pairs.setdefault(i, []).append((p, t))
-        best, found = 0.0, []
         for i, own in pairs.items():
             item = self.items[i]
             marked = np.zeros(len(item), bool)

@@ -327,6 +327,14 @@ def test_tiles_do_not_overlap():
         assert not free  # nothing that could still be tiled is left
 
 
+def test_short_items_and_scripts_without_spaces():
+    index = tiling.Index.build([(1, "Two words"), (2, "今日は良い天気です"), (3, ""), (4, "one two three four five")])
+    assert index.match("he said: two words.", 0.5) == (1.0, [1])
+    assert index.match("two other words", 0.5) == (0.0, [])
+    assert index.match("昨日、今日は良い天気ですと言った", 0.5) == (1.0, [2])
+    assert index.match("two words, one two three four five", 0.5) == (1.0, [1, 4])
+
+
 def test_reordered_passages(spark):
     item = "one two three four five six. seven eight nine ten eleven twelve."
     texts = ["x y " + item.upper(), "seven eight nine ten eleven twelve, then one two three four five six", "one two three four and others", None, ""]
