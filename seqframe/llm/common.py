@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -20,6 +19,13 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have yet."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """Every fifth document by CRC-32 of its id written as text; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -68,12 +74,6 @@ def drop_stage(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now: it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def per_worker(make: Callable, most: int = 8):
     """Memoise ``make`` in each Python worker (key: its arguments), for the last ``most`` keys."""
     memo: dict = {}

@@ -5,16 +5,13 @@ p / q.  The result has the connected component of every document; no link betwee
 different texts is lost, and copies are never paired with each other.
 
 1. Equal sets become one node (a 64-bit digest of the sorted n-gram hashes).
-2. Screen.  Linked sets x, y of sizes in a band differ in at most D elements; cut the
-   universe of n-grams into more than D parts by a hash, and at least one part that
-   either holds is the same in both.  Nodes that share a part's digest meet; most nodes meet
-   nobody and are done.  A node whose n-grams fill too few parts for this argument is
-   also keyed by each of its first |x| - ceil(p|x|/q) + 1 n-grams in hash order, under which
-   any two such nodes that link meet.  A key that more than HOT_KEY nodes hold is frequent.
-   Linked sets share all parts but D, so a node with fewer frequent keys than that
-   meets each of its partners under another key too: its frequent keys are left out.  So
-   passages and lines that many documents hold do not gather them.
-3. The connected components of that screen, taken for each band alone, are clusters: nodes of the
+2. Screen.  Every node posts its first |x| - t + l n-grams in hash order (t = ceil(p|x|/q) is the
+   overlap that it needs with any other, l grows with |x|).  Linked sets have at least the smaller l
+   of these posted n-grams in common.  So each node sets the longest of its inverted lists aside, one fewer than
+   the l of its smallest possible partner: the rarest common n-gram stays on both sides.  What
+   is left are the short lists; most nodes meet nobody in them and are done, and
+   passages and lines that many documents hold gather nobody.
+3. The connected components of the short lists, taken for each size band alone, are clusters: nodes of the
    band and of the next one that have met.  Inside each, inverted lists
    (n-gram -> nodes) are searched for every node: a partner needs T = ceil(p|x|/q) or more
    common n-grams.  The L longest lists are set aside, the short ones merged with counts, nodes
@@ -44,17 +41,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, drop_stage, free_shuffles, stage_table, table
+from .common import documents, drop_stage, stage_table, table
 from .graph import components
 from .words import word_hashes
 
-HOT_KEY = 64
 BLOCK_NODES = 4096
 BLOCK_GRAMS = 1 << 22
 #: Up to so many rows of five numbers a list of documents is shipped; a longer one is joined by a shuffle.
-SHIP_ROWS = 1_000_000
-#: Weight of the paper's rule for the number of long lists: L = T / (SKIP * log2(longest) + 1).
-SKIP = 0.0085
+SHIP_ROWS = 500_000
+#: The weight in the rule for the number of long lists, L = T / (SKIP * log2(longest) + 1): a merge by counting costs little beside a probe.
+SKIP = 0.3
+#: Probes made at once.
+PROBES = 1 << 20
 _MEMO = 1_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -88,7 +86,7 @@ class Rule:
     p: int
     q: int
 
-    def overlap(self, x: int, y: int) -> int:
+    def overlap(self, x: int, y):
         """Common elements that sets of these sizes need."""
         return -(-self.p * (x + y) // (self.p + self.q))
 
@@ -96,9 +94,17 @@ class Rule:
         """Common elements that a set of x needs with any other."""
         return -(-self.p * x // self.q)
 
-    def differ(self, x: int) -> int:
-        """Most elements in which a set of x and a linked one, no smaller, differ."""
-        return (self.q - self.p) * (x + x * self.q // self.p) // (self.p + self.q)
+    def common(self, x: int) -> int:
+        """The l of a set of x: it grows with x and is at most ``least``."""
+        return min(self.least(x), (x - self.least(x)) // 2 + 1)
+
+    def posted(self, x: int) -> int:
+        """Number of n-grams that a set of x posts."""
+        return x - self.least(x) + self.common(x)
+
+    def aside(self, x: int) -> int:
+        """Longest lists that a set of x leaves out: all but one of those common with its smallest partner."""
+        return self.common(self.least(x)) - 1
 
     def tops(self, x: int) -> list[int]:
         """Largest sizes of the bands up to that of size x; linked sets lie in the same or in neighbouring bands."""
@@ -108,88 +114,67 @@ class Rule:
         return out
 
 
-_bands: dict[tuple[Rule, int], list[tuple[int, int]]] = {}
+_bands: dict[tuple[Rule, int], int] = {}
 
 
-def _channels(rule: Rule, x: int) -> list[tuple[int, int]]:
-    """Band number and number of parts for each screen that a set of x takes part in."""
+def band_of(rule: Rule, x: int) -> int:
     got = _bands.get((rule, x))
     if got is None:
-        most = [rule.differ(top) for top in rule.tops(x)]
-        last = len(most) - 1
-        # a fifth and two parts more than needed: for parts that stay empty, and to tell frequent keys apart
-        got = [(c, math.ceil(1.2 * most[c]) + 2 if most[c] else 1) for c in (last, last - 1) if c >= 0]
-        _bands[rule, x] = got
+        got = _bands[rule, x] = len(rule.tops(x)) - 1
     return got
 
 
-def screen(h: np.ndarray, rule: Rule) -> list[tuple[int, np.ndarray, int]]:
-    """(band, keys, shared) of the one or two bands in which a set meets others.
+def occurrences(lists: list[np.ndarray], t: int, need: np.ndarray, wanted: np.ndarray) -> Iterator[int]:
+    """Docs that are in need[doc] >= t of the inverted lists (ascending docs), likely ones first: DivideSkip.
 
-    Linked sets share at least ``shared`` keys of one band, or 0: those told by prefixes.
-    """
-    x = len(h)
-    need, safe, out = rule.differ(x), True, []
-    low, high = (h & np.uint64(0xFFFFFFFF)).astype(np.float64), (h >> np.uint64(32)).astype(np.float64)
-    with np.errstate(over="ignore"):
-        for band, parts in _channels(rule, x):
-            part = ((h >> np.uint64(11)) % np.uint64(parts)).astype(np.int64)
-            held = np.flatnonzero(np.bincount(part, minlength=parts))
-            safe = safe and len(held) > need
-            shared = len(held) - need
-            # sums of fewer than 2**20 halves are exact
-            a = np.bincount(part, low, parts)[held].astype(np.uint64)
-            b = np.bincount(part, high, parts)[held].astype(np.uint64)
-            key = (a * _MULT + b) * _MULT + (held.astype(np.uint64) << np.uint64(16)) + np.uint64(2 * band + 1)
-            out.append((band, (key ^ (key >> np.uint64(29))) * _MIX, shared))
-        if not safe:
-            first = h[: x - rule.least(x) + 1] ^ np.uint64(0x5851F42D4C957F2D)
-            out = [(band, np.concatenate([key, (first + np.uint64(band)) * _MIX]), 0) for band, key, _ in out]
-    return out
-
-
-def t_occurrence(lists: list[np.ndarray], t: int, n_docs: int, held: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
-    """Docs (of 0..n_docs-1) in at least t of the inverted lists: DivideSkip.
-
-    ``ids`` names each list; ``held`` has the ascending names of the lists that each doc is in.
+    ``wanted`` marks the docs asked for; it is looked at again after each doc that is told.
     """
     size = np.fromiter(map(len, lists), np.int64, len(lists))
-    if not len(size) or t > len(size):
-        return np.zeros(0, np.int64)
-    order = np.argsort(size, kind="stable")
-    longest = max(2, int(size[order[-1]]))
-    aside = min(t - 1, int(t / (SKIP * math.log2(longest) + 1)))
-    short, long = order[: len(order) - aside], np.sort(ids[order[len(order) - aside :]])
+    if t > len(size):
+        return
+    order, n = np.argsort(size, kind="stable"), len(need)
+    aside = min(t - 1, int(t / (SKIP * math.log2(max(2, int(size[order[-1]]))) + 1)))
+    short, long = order[: len(order) - aside].tolist(), order[len(order) - aside :].tolist()
     # the merge of the short lists, with the number of lists that each doc comes from
-    seen = np.bincount(np.concatenate([lists[k] for k in short]), minlength=n_docs)
-    found = []
-    for d in np.flatnonzero(seen >= max(1, t - aside)).tolist():
-        count = int(seen[d])
-        if count < t:
-            own = held[d]
-            at = np.searchsorted(own, long)
-            at[at == len(own)] = 0
-            count += int((own[at] == long).sum())
-        if count >= t:
-            found.append(d)
-    return np.array(found, np.int64)
+    seen = np.bincount(np.concatenate([lists[k] for k in short]), minlength=n)
+    near = np.flatnonzero((seen >= np.maximum(1, need - aside)) & wanted)
+    near = near[np.argsort(need[near] - seen[near], kind="stable")]
+    # the long lists one after another are one ascending array of (list, doc)
+    flat = np.concatenate([lists[k] + i * n for i, k in enumerate(long)]) if long and len(near) else near
+    at, step, most = 0, 8, max(1, min(512, PROBES // max(1, len(long))))
+    while at < len(near):
+        some = near[at : at + step]
+        at, step = at + step, min(4 * step, most)
+        some = some[wanted[some]]
+        count = seen[some]
+        if long and len(some):
+            key = (np.arange(len(long))[:, None] * n + some).ravel()
+            spot = np.minimum(np.searchsorted(flat, key), len(flat) - 1)
+            count = count + (flat[spot] == key).reshape(len(long), -1).sum(0)
+        for d in some[count >= need[some]].tolist():
+            if wanted[d]:
+                yield d
+
+
+def t_occurrence(lists: list[np.ndarray], t: int, n_docs: int) -> np.ndarray:
+    """All docs (of 0..n_docs-1) in at least t of the inverted lists, ascending."""
+    return np.array(sorted(occurrences(lists, t, np.full(n_docs, t), np.ones(n_docs, bool))), np.int64)
 
 
 class Search:
     """Inverted lists over a block of sets; links of queries to it that join different components."""
 
     def __init__(self, rule: Rule, nodes: list[int], sets: list[np.ndarray], labels: list[int]):
-        self.rule, self.nodes, self.sets = rule, nodes, sets
+        self.rule, self.nodes = rule, nodes
         self.parent: dict[int, int] = {}
-        self.labels = labels
+        self.label = np.array(labels, np.int64)
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         self.grams, place = np.unique(flat, return_inverse=True)
         doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(place, kind="stable")
         self.post = doc[order]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(self.grams)))]).astype(np.int64)
-        ends = np.cumsum([0] + [len(s) for s in sets])
-        self.held = [place[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        self.size = np.array([len(s) for s in sets], np.int64)
 
     def root(self, x: int) -> int:
         while (up := self.parent.get(x, x)) != x:
@@ -200,24 +185,25 @@ class Search:
     def links(self, node: int, own: np.ndarray, label: int, before: int) -> list[int]:
         """Nodes of the first ``before`` sets that link with the query and were not connected to it yet."""
         mine = self.root(label)
-        if all(self.root(x) == mine for x in set(self.labels[:before])):
+        wanted = self.label != mine
+        wanted[before:] = False
+        if not wanted.any():
             return []
         k = np.searchsorted(self.grams, own)
         k[k == len(self.grams)] = 0
-        ids = k[self.grams[k] == own] if len(self.grams) else k[:0]
-        ids = ids[self.first[ids + 1] - self.first[ids] > 0]
-        lists = [self.post[self.first[i] : self.first[i + 1]] for i in ids.tolist()]
+        ids = k[self.grams[k] == own]
+        lists = [self.post[a:b] for a, b in zip(self.first[ids].tolist(), self.first[ids + 1].tolist(), strict=True)]
         out = []
-        for d in t_occurrence(lists, self.rule.least(len(own)), len(self.sets), self.held, ids).tolist():
-            if d >= before or self.nodes[d] == node:
-                continue
-            theirs = self.root(self.labels[d])
-            if theirs == mine:
+        need = self.rule.overlap(len(own), self.size)
+        for d in occurrences(lists, self.rule.least(len(own)), np.maximum(need, self.rule.least(len(own))), wanted):
+            if self.nodes[d] == node:
                 continue
-            common = len(np.intersect1d(own, self.sets[d], assume_unique=True))
-            if common >= self.rule.overlap(len(own), len(self.sets[d])):
-                self.parent[theirs] = mine
-                out.append(self.nodes[d])
+            theirs = int(self.label[d])
+            self.parent[theirs] = mine
+            joined = self.label == theirs
+            self.label[joined] = mine
+            wanted[joined] = False
+            out.append(self.nodes[d])
         return out
 
 
@@ -285,7 +271,7 @@ def nodes_of(docs: DataFrame, rule: Rule) -> DataFrame:
                 h = grams(t or "", rule.n)
                 sizes.append(len(h))
                 nodes.append(digest(h) if len(h) else None)
-                bands.append(_channels(rule, len(h))[0][0] if len(h) else None)
+                bands.append(band_of(rule, len(h)) if len(h) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.int32())],
                 ["doc_id", "n_shingles", "node", "band"],
@@ -294,41 +280,35 @@ def nodes_of(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, band int")
 
 
-def keyed(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(key, node, shared): the screen's keys of every text; a node is told apart by band, see _in_band."""
+POSTS = "node long, band int, aside int, keys array<long>"
+
+
+def posts(docs: DataFrame, rule: Rule) -> DataFrame:
+    """The posted n-grams of every text; copies that a task has met are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                keys, nodes, sizes, shared = [], [], [], []
+                rows, keys = [], []
                 for t in b.column(1).slice(at, 512).to_pylist():
                     h = grams(t or "", rule.n)
-                    if not len(h) or (node := digest(h)) in done:
+                    x = len(h)
+                    if not x or (node := digest(h)) in done:
                         continue
                     if len(done) >= _MEMO:
                         done.clear()
-                    done.add(node)  # copies that a task has met say nothing new
-                    for band, own, least in screen(h, rule):
-                        keys.append(own)
-                        shared.append(min(least, 32767))
-                        nodes.append(node ^ _signed(band << 56))
-                        sizes.append(len(own))
-                if keys:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(keys).view(np.int64)),
-                            pa.array(np.repeat(np.array(nodes, np.int64), sizes)),
-                            pa.array(np.repeat(np.array(shared, np.int16), sizes)),
-                        ],
-                        ["key", "node", "shared"],
-                    )
+                    done.add(node)
+                    keys.append(h[: rule.posted(x)].view(np.int64))
+                    rows.append((node, band_of(rule, x), rule.aside(x), len(keys[-1])))
+                if rows:
+                    nodes, bands, aside, sizes = zip(*rows, strict=True)
+                    ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
+                    columns = [pa.array(nodes, pa.int64())] + [pa.array(c, pa.int32()) for c in (bands, aside)]
+                    columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys))))
+                    yield pa.RecordBatch.from_arrays(columns, ["node", "band", "aside", "keys"])
 
-    return docs.mapInArrow(run, "key long, node long, shared short")
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    return docs.mapInArrow(run, POSTS)
 
 
 def _in_band(node, band) -> Column:
@@ -337,17 +317,25 @@ def _in_band(node, band) -> Column:
 
 
 def clusters(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(node, root): the nodes that meet others in a band, by connected component of its screen."""
-    at = W.partitionBy("key")
-    met = keyed(docs, rule).withColumn("a", F.min("node").over(at)).withColumn("z", F.max("node").over(at)).withColumn("n", F.count("*").over(at))
-    met = met.where("a <> z").select("key", "node", "shared", "a", (F.col("n") > HOT_KEY).alias("hot"))
-    met = stage_table(met, "meetings")
-    hot = met.where("hot")
-    heavy = hot.groupBy("node").agg(F.count("*").alias("n"), F.min("shared").alias("shared")).where("n >= shared").select("node")
-    kept = hot.join(heavy, "node", "left_semi").select("key", "node").withColumn("a", F.min("node").over(at))
-    edges = met.where("not hot").select("a", "node").unionByName(kept.select("a", "node")).where("a <> node")
-    edges = stage_table(edges.select("a", F.col("node").alias("b")).distinct(), "meetings")
-    drop_stage(met)
+    """(node, root): the nodes that meet others in a band, by connected component of its short lists.
+
+    The length of a list is counted with partial sums; a node's own lists are ranked by a
+    window over that node, so no task gathers the holders of an n-gram.
+    """
+    posted = stage_table(posts(docs, rule), "posts")
+    rows = posted.select("node", "band", "aside", F.explode("keys").alias("key"))
+    # the number of tasks' copies of a node counts too: any order of the n-grams that all nodes share is exact
+    length = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rank = F.dense_rank().over(W.partitionBy("node").orderBy(F.desc("n"), "key"))
+    short = rows.join(length, "key").withColumn("rank", rank).where("rank > aside")
+    bands = F.explode(F.filter(F.array(F.col("band"), F.col("band") - 1), lambda b: b >= 0))
+    short = short.select("key", "node", bands.alias("band")).select("key", "band", _in_band(F.col("node"), F.col("band")).alias("node"))
+    short = stage_table(short, "short")
+    drop_stage(posted)
+    least = short.groupBy("key", "band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "band", "a")
+    edges = short.join(least, ["key", "band"]).where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    edges = stage_table(edges, "meetings")
+    drop_stage(short)
     out = components(edges)
     drop_stage(edges)
     return out
@@ -388,12 +376,14 @@ def _placed(met: DataFrame, first: DataFrame) -> DataFrame:
     # two nodes of the next band alone meet in that band too
     sizes = sizes.where("own > 0 and nodes > 1").select("cluster", blocks.alias("blocks"))
     sub = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    sizes = stage_table(sizes, "sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= SHIP_ROWS else sizes
     return inside.join(sizes, "cluster").select("cluster", sub.alias("sub"), "node", "doc_id", "upper", "blocks")
 
 
 def join(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of (doc_id, text)."""
-    rule, spark = Rule(n, p, q), docs.sparkSession
+    rule = Rule(n, p, q)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = stage_table(nodes_of(docs, rule), "nodes")
     first = known.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node").agg(
@@ -402,9 +392,8 @@ def join(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
     first = stage_table(first, "first")
     met = stage_table(clusters(docs.where(F.col("doc_id").isNotNull()), rule), "clusters")
     placed = stage_table(_placed(met, first), "placed")
-    free_shuffles(spark)
+    drop_stage(met)
     inner = stage_table(_within(docs, placed, rule), "links")
-    free_shuffles(spark)
     outer = _across(docs, placed.where("blocks > 1"), inner, rule)
     links = inner.unionByName(outer)
     shared = _shared_ids(known)
@@ -413,7 +402,10 @@ def join(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
     final = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     by_node = roots.join(final, "root").select("node", "component_id")
     got = known.join(by_node, "node", "left")
-    return got.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = stage_table(got.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "components")
+    for done in (known, first, placed, inner):
+        drop_stage(done)
+    return out
 
 
 def _within(docs: DataFrame, placed: DataFrame, rule: Rule) -> DataFrame:
@@ -456,5 +448,22 @@ def _shared_ids(known: DataFrame) -> DataFrame | None:
     return odd.join(known.select("doc_id", F.col("node").alias("b")), "doc_id").where("b is not null and b != a").select("a", "b")
 
 
+#: White space and capitals are told by code, so that nothing depends on a locale.
+ORACLE_SQL = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS s FROM w),
+t AS (SELECT min(doc_id) AS id, list_sort(s) AS k, CAST(len(s) AS BIGINT) AS n FROM s WHERE len(s) > 0 GROUP BY ALL),
+e AS (SELECT id, n, unnest(k) AS g FROM t),
+l AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT id AS a, id AS b FROM t UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN t ON list_sort(s.s) = t.k LEFT JOIN c ON t.id = c.a
+"""
+
+
 def op4_divide_skip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(table(spark, sf_dir, "documents")), 4, 85, 100)

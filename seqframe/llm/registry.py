@@ -21,4 +21,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_length_buckets": packing.oracle_sql(), "op2_chat_prefix_targets": chat.ORACLE_SQL}
+    return {
+        "op1_length_buckets": packing.oracle_sql(),
+        "op2_chat_prefix_targets": chat.ORACLE_SQL,
+        "op4_divide_skip_join": jaccard.ORACLE_SQL,
+    }
