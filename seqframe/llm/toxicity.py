@@ -1,37 +1,48 @@
-"""Toxicity by a support vector machine over a subsequence string kernel.
+"""Toxicity by a support vector machine over a gap-weighted subsequence kernel.
 
-Kernel.  K(w, l) sums over all sequences u of ORDER bytes, over all places of u as a
-subsequence of w and of l, DECAY to the sum of the two spans.  It is divided by
-K(l, l) and capped at 1, so a word that holds l scores 1 and one with inserted
-characters somewhat less.  A document's kernel value with a landmark is the largest over its words: one
-insult marks a text, however long the rest is.
+Kernel.  K(w, v) sums over all sequences of ORDER symbols, over all places of the sequence as a
+subsequence of w and of v, DECAY to the sum of the two spans; it is divided by
+sqrt(K(w, w) K(v, v)), for landmarks and texts alike.  So a word with an inserted character stays near to the word
+without it.  Symbols are letters (ASCII case folded), digits, and 27 classes of other bytes.
 
-Landmarks.  Nyström's method with strings that occur in toxic training texts: greedily those
-that the most toxic and hardly any clean texts hold, the longer on ties; words that hold a
-chosen string count no more.  SUPPORT distinct texts are enough, whatever their number; if no string
-has them, one is enough.  MAX_LANDMARKS are taken at most; strings shorter than ORDER bytes have no kernel value.
-Features are the kernel values times the inverse root of the landmarks' own kernel
-matrix, and the largest kernel value of all landmarks; a linear SVM with a logistic link on its margin gives the score.
+Landmarks (Nystroem) are words of the training texts: greedily those that the most toxic texts not covered yet and
+hardly any clean ones hold (SUPPORT toxic texts, near copies counted once, are enough, whatever their number; one if no word has them), and
+CLEAN_LANDMARKS words of clean texts.  A word's features
+are its kernel values times the inverse root of the landmarks' kernel matrix.
+
+Words.  A text is toxic by some of its words (a multiple-instance SVM).  Training alternates
+between choosing the word of each toxic text that stands for it and a linear SVM on these words, and on
+virtual examples with one character inserted, against words of clean texts, to which those of the largest margin are added each
+round.  Toxic texts without a word near a landmark stand for nothing.
+
+Texts.  The largest margins of a text's words, how many are large and how many words there are pass a logistic link.  It
+learns from margins that a machine trained on the other half of the texts gives.
+
+The margin is linear in the counts of subsequences, so the whole expansion over the landmarks folds into one
+weight for each sequence of ORDER symbols (a table of 64**ORDER numbers): scoring a word takes a look-up
+for each of its subsequences, and K(w, w).
 
 Words: the lower-cased text without ASCII punctuation (so ``i-d-i-o-t`` closes up), cut at
 white space; three or more single letters in a row are one word; a word longer than
-WINDOW bytes is read in overlapping windows.  A word is compared with a landmark unless it shares too few
-of its letters for a common subsequence of ORDER bytes, so that their value is 0.
+WINDOW bytes is read in overlapping windows.
 
 Training uses a bounded sample: TRAIN_TOXIC and TRAIN_CLEAN labelled rows at most
 (the lowest by a hash of the id) whose text has at most TRAIN_CHARS characters, never
 from the held-out fifth.  Scoring reads every text whole and shuffles nothing.
 
-Cases: null and empty texts score as a text without any insult; without toxic or
-clean training rows every score is 0; equal texts have equal scores.
+Cases: null and empty texts, and texts without a word of ORDER symbols, have the margin of a word unlike every landmark;
+without toxic or clean training rows (an empty labels table too) every score is 0; equal texts have equal scores;
+repeated rows are scored each; other columns, whatever their names, change nothing.
 """
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import re
-from collections import Counter
+import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -40,19 +51,22 @@ from pyspark.sql import functions as F
 
 from .common import held_out, per_worker, table
 
-ORDER = 4
-DECAY = 0.7
-MAX_LANDMARKS = 64
-LANDMARK_BYTES = (4, 8)
+ORDER = 3
+DECAY = 0.8
+MAX_LANDMARKS = 96
+CLEAN_LANDMARKS = 32
 SUPPORT = 3
-BEST = 4.0
 TRAIN_TOXIC = 1500
 TRAIN_CLEAN = 3000
 TRAIN_CHARS = 20_000
-WINDOW = 48
+#: Rounds of choosing words and training, and clean words taken up in each.
+ROUNDS = 4
+HARD_WORDS = 1000
+WINDOW = 24
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _SPELLED = re.compile(rb"(?<![^\s])(?:[^\s] ){2,}[^\s](?![^\s])")
 _CHUNK = 1 << 22
+_CLASS = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else b - 21 if 48 <= b <= 57 else 37 + b % 27 if b > 127 else 0 for b in range(256)], np.uint8)
 
 
 def prepared(text: str) -> bytes:
@@ -60,227 +74,258 @@ def prepared(text: str) -> bytes:
     return _SPELLED.sub(lambda m: m[0].replace(b" ", b""), raw)
 
 
-def kernel(words: list[bytes], mark: bytes, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """K(w, mark) for all words at once: the usual recursion over both strings, a row for each word."""
-    n = len(words)
-    width = max(map(len, words), default=0)
-    a = np.zeros((width, n), np.int16)
-    for k, w in enumerate(words):
-        a[: len(w), k] = np.frombuffer(w, np.uint8)
-    # prior[i][j]: weighted places of i symbols in what was read of the word and mark[:j], counted to both ends
-    prior = [np.ones((len(mark) + 1, n)) if i == 0 else np.zeros((len(mark) + 1, n)) for i in range(order)]
-    total = np.zeros(n)
-    for x in a:
-        same = [(x == c) & (x != 0) for c in mark]
-        for j, s in enumerate(same):
-            total += np.where(s, prior[order - 1][j] * decay**2, 0)
-        # x = 0 is past the end of a shorter word; what is kept there is never used again
-        for i in range(order - 1, 0, -1):
-            new, row = prior[i], np.zeros(n)
-            new *= decay
-            for j, s in enumerate(same):
-                row = row * decay + np.where(s, prior[i - 1][j] * decay**2, 0)
-                new[j + 1] += row
+@dataclass
+class Words:
+    """The distinct words of some texts, those of one length together, and which text holds which."""
+
+    groups: list[np.ndarray]  # symbols, a row for each place and a column for each word
+    doc: np.ndarray  # ascending; a text and a word of it in each row
+    word: np.ndarray
+    n: int
+
+    @staticmethod
+    def of(raws: list[bytes]) -> Words:
+        a = np.frombuffer(b"\n".join(raws), np.uint8)
+        ink = np.concatenate([[False], a > 32, [False]])
+        starts, ends = np.flatnonzero(ink[1:] & ~ink[:-1]), np.flatnonzero(ink[:-1] & ~ink[1:])
+        size = ends - starts
+        long = np.flatnonzero(size > WINDOW)
+        if len(long):
+            # windows overlap by a half; the last one ends with the word
+            more = [min(p, e - WINDOW) for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True) for p in range(s, e - WINDOW // 2, WINDOW // 2)]
+            short = size <= WINDOW
+            starts = np.concatenate([starts[short], np.array(more, np.int64)])
+            size = np.concatenate([size[short], np.full(len(more), WINDOW)])
+        kept = size >= ORDER
+        starts, size = starts[kept], size[kept]
+        first = np.cumsum([0] + [len(r) + 1 for r in raws])[:-1]
+        doc, word = np.searchsorted(first, starts, side="right") - 1, np.zeros(len(starts), np.int64)
+        groups, n = [], 0
+        for length in np.unique(size).tolist():
+            at = np.flatnonzero(size == length)
+            rows = np.zeros((len(at), -(-length // 8) * 8), np.uint8)
+            rows[:, :length] = _CLASS[a[starts[at][:, None] + np.arange(length)]]
+            with np.errstate(over="ignore"):
+                h = np.zeros(len(at), np.uint64)
+                for part in rows.view(np.uint64).T:
+                    h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
+                    h ^= h >> np.uint64(29)
+            _, index, back = np.unique(h, return_index=True, return_inverse=True)
+            groups.append(np.ascontiguousarray(rows[index, :length].T).astype(np.int32))
+            word[at] = n + back
+            n += len(index)
+        order = np.argsort(doc, kind="stable")
+        return Words(groups, doc[order], word[order], n)
+
+    @cached_property
+    def norms(self) -> list[np.ndarray]:
+        return [np.sqrt(own_kernel(g)) for g in self.groups]
+
+    def each(self) -> list[bytes]:
+        """The words by number, as symbols."""
+        return [bytes(w) for g in self.groups for w in g.T.astype(np.uint8)]
+
+
+def _group(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Words (as symbols) by length, and the numbers of the words in that order."""
+    size = np.array([len(w) for w in words], np.int64)
+    groups, order = [], []
+    for length in np.unique(size).tolist():
+        at = np.flatnonzero(size == length)
+        groups.append(np.frombuffer(b"".join(words[k] for k in at), np.uint8).reshape(-1, length).T.astype(np.int32))
+        order.append(at)
+    return groups, np.concatenate(order) if order else np.zeros(0, np.int64)
+
+
+def own_kernel(cols: np.ndarray) -> np.ndarray:
+    """K(w, w) of words of one length: pairs of places of equal symbols, then pairs that continue them."""
+    n, size = cols.shape
+    zero = np.zeros(size, np.float32)
+    step, total = np.float32(DECAY), np.zeros(size, np.float32)
+    square = step * step
+    same = {(p, q): np.where(cols[p] == cols[q], square, np.float32(0)) for p in range(n) for q in range(p + 1)}
+    ending = same
+    for order in range(2, ORDER + 1):
+        # summed[p, q]: what ends at or before both places, each step to them weighed; it is symmetric
+        summed: dict[tuple[int, int], np.ndarray] = {}
+        get = lambda p, q, s=summed: zero if min(p, q) < 0 else s[max(p, q), min(p, q)]
+        new = {}
+        for p in range(n):
+            for q in range(p + 1):
+                before = get(p - 1, q - 1)
+                new[p, q] = same[p, q] * before
+                summed[p, q] = ending[p, q] + step * (get(p - 1, q) + (get(p, q - 1) if q < p else get(p - 1, q))) - square * before
+        ending = new
+    for (p, q), value in ending.items():
+        total += value if p == q else 2 * value
     return total
 
 
-@dataclass
-class Model:
-    marks: list[bytes]
-    own: np.ndarray  # K(l, l)
-    root: np.ndarray  # inverse root of the landmarks' kernel matrix
-    weight: np.ndarray
-    bias: float
-    slope: float
-    shift: float
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        z = coordinates(features(texts, self.marks, self.own), self.root)
-        margin = z @ self.weight + self.bias
-        return 1 / (1 + np.exp(-(self.slope * margin + self.shift)))
-
-
-def _bit(a: np.ndarray) -> np.ndarray:
-    return np.uint64(1) << (a & 63).astype(np.uint64)
-
-
-def _least_shared(mark: bytes) -> int:
-    """Fewest different letters of ``mark`` that make up ORDER of its bytes."""
-    total = 0
-    for n, times in enumerate(sorted(Counter(b & 63 for b in mark).values(), reverse=True), 1):
-        total += times
-        if total >= ORDER:
-            return n
-    return len(mark) + 1
-
-
-def _meet(columns: np.ndarray, mark: bytes) -> np.ndarray:
-    """Whether words (a column each, zeros past their ends) have a common subsequence of ORDER bytes with ``mark``: by bits."""
-    places = np.zeros(256, np.uint16)
-    for j, c in enumerate(mark):
-        places[c] |= 1 << j
-    full = np.uint16((1 << len(mark)) - 1)
-    v = np.full(columns.shape[1], full, np.uint16)
-    for row in columns:
-        u = v & places[row]
-        v = ((v + u) | (v - u)) & full
-    return len(mark) - np.bitwise_count(v) >= ORDER
-
-
-def _matrices(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Numbers and bytes of the words of like length."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    out = []
-    for lo, hi in ((ORDER, 6), (7, 8), (9, 12), (13, 20), (21, WINDOW)):
-        at = np.flatnonzero((size >= lo) & (size <= hi))
-        if len(at):
-            rows = np.frombuffer(b"".join(words[k].ljust(hi, b"\0") for k in at.tolist()), np.uint8)
-            out.append((at, np.ascontiguousarray(rows.reshape(len(at), hi).T)))
+def sums(cols: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For words of one length the sum of the weights of their subsequences, each times DECAY to its span."""
+    n, size = cols.shape
+    out = np.zeros((size, *weights.shape[1:]), np.float32)
+    for i, j in itertools.combinations(range(n), 2):
+        pair = cols[i] * 4096 + cols[j] * 64
+        for k in range(j + 1, n):
+            out += weights[pair + cols[k]] * np.float32(DECAY ** (k - i + 1))
     return out
 
 
-def features(texts: list[str], marks: list[bytes], own: np.ndarray) -> np.ndarray:
-    """Largest kernel value of any word, a row for each text and a column for each landmark."""
-    out = np.zeros((len(texts), len(marks)))
-    need = [(np.bitwise_or.reduce(_bit(np.frombuffer(m, np.uint8))), _least_shared(m)) for m in marks]
-    held, docs, size = [], [], 0
-
-    def flush() -> None:
-        nonlocal held, docs, size
-        if not held:
-            return
-        buf = b"\n".join(held)
-        a = np.frombuffer(buf, np.uint8)
-        space = a <= 32
-        if space.all():
-            held, docs, size = [], [], 0
-            return
-        starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-        ends = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
-        first = np.cumsum([0] + [len(h) + 1 for h in held])[:-1]
-        doc = np.searchsorted(first, starts, side="right") - 1
-        words: dict[bytes, int] = {}
-        pairs = []
-        for s, e, d in zip(starts.tolist(), ends.tolist(), doc.tolist(), strict=True):
-            if e - s < ORDER:
-                continue
-            for w in range(s, max(s + 1, e - WINDOW // 2), WINDOW // 2):
-                pairs.append((words.setdefault(buf[w : min(e, w + WINDOW)], len(words)), d))
-        if pairs:
-            each = list(words)
-            whole = np.frombuffer(b"".join(each), np.uint8)
-            letters = np.bitwise_or.reduceat(_bit(whole), np.cumsum([0, *map(len, each)])[:-1])
-            w, d = np.unique(np.array(pairs), axis=0).T
-            d = np.array(docs)[d]
-            groups = _matrices(each)
-            for k, mark in enumerate(marks):
-                mask, shared = need[k]
-                value = np.zeros(len(each))
-                near = np.bitwise_count(letters & mask) >= shared
-                for at, columns in groups:
-                    some = np.flatnonzero(near[at])
-                    some = some[_meet(columns[:, some], mark)]
-                    if len(some):
-                        value[at[some]] = np.minimum(1, kernel([each[j] for j in at[some].tolist()], mark) / own[k])
-                hit = np.flatnonzero(value[w])
-                np.maximum.at(out[:, k], d[hit], value[w[hit]])
-        held, docs, size = [], [], 0
-
-    for i, t in enumerate(texts):
-        raw = prepared(t)
-        if raw:
-            held.append(raw)
-            docs.append(i)
-            size += len(raw)
-            if size > _CHUNK:
-                flush()
-    flush()
+def subsequences(word: bytes) -> dict[int, float]:
+    """Weight of each sequence of ORDER symbols in a word."""
+    out: dict[int, float] = {}
+    for i, j, k in itertools.combinations(range(len(word)), ORDER):
+        code = word[i] * 4096 + word[j] * 64 + word[k]
+        out[code] = out.get(code, 0.0) + DECAY ** (k - i + 1)
     return out
 
 
-def coordinates(values: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Nyström coordinates, and the largest value with any landmark, weighed BEST: one insult is enough."""
-    return np.c_[values @ root, BEST * values.max(1, initial=0)]
-
-
-def _grams(raw: bytes, distinct: bool = True) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Hashes of the strings of each landmark length inside the words of a text, with their places."""
-    a = np.frombuffer(raw, np.uint8)
-    lo, hi = LANDMARK_BYTES
-    h = np.zeros(len(a), np.uint64)
-    ok = np.ones(len(a), bool)
-    out = {}
-    with np.errstate(over="ignore"):
-        for n in range(1, hi + 1):
-            if len(a) < n:
-                break
-            tail = a[n - 1 :]
-            h = h[: len(tail)] * np.uint64(0x100000001B3) + tail.astype(np.uint64) + np.uint64(1)
-            ok = ok[: len(tail)] & (tail > 32)
-            if n >= lo:
-                at = np.flatnonzero(ok & ((a[: len(tail)] & 0xC0) != 0x80))
-                mixed = (h[at] ^ (h[at] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * n)
-                if distinct:
-                    mixed, first = np.unique(mixed, return_index=True)
-                    at = at[first]
-                out[n] = (mixed, at)
+def symbols(word: str) -> bytes:
+    return _CLASS[np.frombuffer(prepared(word), np.uint8)].tobytes()
+
+
+class Landmarks:
+    """Kernel values with some words, and the weights of subsequences that stand for sums of them."""
+
+    def __init__(self, marks: list[bytes]):
+        each = [subsequences(m) for m in marks]
+        codes = sorted({c for e in each for c in e})
+        place = {c: k + 1 for k, c in enumerate(codes)}
+        self.spot = np.zeros(64**ORDER, np.int32)
+        self.spot[codes] = np.arange(1, len(codes) + 1)
+        self.rows = np.zeros((len(codes) + 1, len(marks)), np.float32)
+        for m, e in enumerate(each):
+            norm = np.sqrt(sum(x * x for x in e.values()))
+            for c, x in e.items():
+                self.rows[place[c], m] = x / norm
+
+    def values(self, words: list[bytes]) -> np.ndarray:
+        """The kernel with each landmark, a row for each word."""
+        groups, order = _group(words)
+        out = np.zeros((len(words), self.rows.shape[1]))
+        at = 0
+        for g in groups:
+            for cut in range(0, g.shape[1], 2048):
+                cols = g[:, cut : cut + 2048]
+                spots, got = self.spot, np.zeros((cols.shape[1], self.rows.shape[1]), np.float32)
+                for i, j in itertools.combinations(range(len(cols)), 2):
+                    pair = cols[i] * 4096 + cols[j] * 64
+                    for k in range(j + 1, len(cols)):
+                        spot = spots[pair + cols[k]]
+                        some = np.flatnonzero(spot)
+                        got[some] += self.rows[spot[some]] * np.float32(DECAY ** (k - i + 1))
+                out[order[at : at + cols.shape[1]]] = got / np.sqrt(own_kernel(cols))[:, None]
+                at += cols.shape[1]
+        return out
+
+    def folded(self, beta: np.ndarray) -> np.ndarray:
+        """One weight for each sequence: the sum over the landmarks of beta times the kernel is linear in them."""
+        return (self.rows @ beta.astype(np.float32))[self.spot].astype(np.float32)
+
+
+#: Largest margins of a text that the link sees, and the margins above which words are counted.
+TOP = 4
+COUNTED = (-0.5, 0.0, 0.5)
+
+
+def pooled(words: Words, margins: np.ndarray, n_texts: int) -> np.ndarray:
+    """Features of each text: its TOP largest margins from -1 to 1.5, the logarithms of the counts, a one."""
+    out = np.c_[np.full((n_texts, TOP), -1.0), np.zeros((n_texts, len(COUNTED) + 1)), np.ones(n_texts)]
+    value = np.clip(margins[words.word], -1, 1.5)
+    some = value > -1
+    doc, value = words.doc[some], value[some]
+    order = np.lexsort((-value, doc))
+    doc, value = doc[order], value[order]
+    place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    top = place < TOP
+    out[doc[top], place[top]] = value[top]
+    for k, least in enumerate(COUNTED):
+        out[:, TOP + k] = np.log1p(np.bincount(doc[value > least], minlength=n_texts))
+    out[:, TOP + len(COUNTED)] = 0.1 * np.log1p(np.bincount(words.doc, minlength=n_texts))
     return out
 
 
-def landmarks(toxic: list[bytes], clean: list[bytes], most: int = MAX_LANDMARKS, least: int = SUPPORT) -> list[bytes]:
-    """Strings that ``least`` toxic texts or more and hardly any clean ones hold, chosen greedily."""
-    toxic = sorted(set(toxic))  # copies count once
-    rows = [np.concatenate([g for g, _ in _grams(t).values()] or [np.zeros(0, np.uint64)]) for t in toxic]
-    every, df = np.unique(np.concatenate(rows), return_counts=True) if rows else (np.zeros(0, np.uint64), np.zeros(0))
-    every, df = every[df >= least], df[df >= least]
-    seen = np.zeros(len(every), np.int64)
-    for t in clean:
-        for g, _ in _grams(t).values():
-            if len(every):
-                k = np.minimum(np.searchsorted(every, g), len(every) - 1)
-                seen[k[every[k] == g]] += 1
-    good = every[seen / max(1, len(clean)) <= 0.02 * df / max(1, len(toxic))]
-    held = dict(zip(every.tolist(), seen.tolist(), strict=True))
-    spots: dict[int, set[tuple[int, int]]] = {}  # (text, word) pairs that hold a string
-    name: dict[int, bytes] = {}
-    words: list[list[bytes]] = []
-    for i, t in enumerate(toxic):
-        words.append(t.split())
-        starts = np.flatnonzero(np.diff(np.concatenate([[0], np.frombuffer(t, np.uint8) > 32]).astype(np.int8)) == 1)
-        for n, (g, at) in _grams(t, distinct=False).items():
-            for k in np.flatnonzero(np.isin(g, good)).tolist():
-                key = int(g[k])
-                spots.setdefault(key, set()).add((i, int(np.searchsorted(starts, at[k], side="right")) - 1))
-                name[key] = t[at[k] : at[k] + n]
-    # each text of the clean class that holds a string takes away as much as three toxic ones of its size add
+@dataclass
+class Machine:
+    """The SVM over words: one weight for each sequence of ORDER symbols, and a bias."""
+
+    weights: np.ndarray
+    bias: float
+
+    def margins(self, words: Words) -> np.ndarray:
+        each = [sums(g, self.weights) / norm for g, norm in zip(words.groups, words.norms, strict=True)]
+        return np.concatenate([*each, np.zeros(0)]) + self.bias
+
+
+@dataclass
+class Model:
+    machine: Machine
+    link: np.ndarray
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        out, held, size = np.zeros(len(texts)), [], 0
+        for k, t in enumerate(texts):
+            held.append(prepared(t))
+            size += len(held[-1])
+            if size >= _CHUNK or k == len(texts) - 1:
+                words = Words.of(held)
+                out[k + 1 - len(held) : k + 1] = pooled(words, self.machine.margins(words), len(held)) @ self.link
+                held, size = [], 0
+        return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
+
+
+def families(bags: list[set[int]], rows: int = 8, alike: float = 0.5) -> list[int]:
+    """The first of each family of near copies: sets with an equal least hash in some row and that share of their words."""
+    kept: list[int] = []
+    seen: list[dict[int, list[int]]] = [{} for _ in range(rows)]
+    factors = np.random.default_rng(2).integers(1, 1 << 62, rows, np.uint64) * np.uint64(2) + np.uint64(1)
+    for i, b in enumerate(bags):
+        if b:
+            x = np.fromiter(b, np.uint64, len(b))
+            least = [int((x * f).min()) for f in factors]
+            near = {j for m, h in zip(seen, least, strict=True) for j in m.get(h, ())}
+            if any(len(b & bags[j]) >= alike * len(b | bags[j]) for j in near):
+                continue
+            for m, h in zip(seen, least, strict=True):
+                m.setdefault(h, []).append(i)
+        kept.append(i)
+    return kept
+
+
+def choose_landmarks(toxic: list[set[int]], clean: list[set[int]], least: int = SUPPORT) -> tuple[list[int], list[int]]:
+    """Numbers of words: a greedy cover of the toxic texts, and words of clean texts in an order that a hash gives."""
+    holders: dict[int, set[int]] = {}
+    for i, words in enumerate(toxic):
+        for w in words:
+            holders.setdefault(w, set()).add(i)
+    cost: dict[int, int] = {}
+    for words in clean:
+        for w in words:
+            if w in holders:
+                cost[w] = cost.get(w, 0) + 1
+    # a clean text that holds a word takes away as much as three toxic ones of its share add
     price = 3 * len(toxic) / max(1, len(clean))
-    out: list[bytes] = []
-    inside: dict[tuple[int, int], list[int]] = {}  # strings that a (text, word) pair holds
-    for x, v in spots.items():
-        for pair in v:
-            inside.setdefault(pair, []).append(x)
-    gain = {x: len({i for i, _ in v}) for x, v in spots.items()}
-    while gain and len(out) < most:
-        key = max(gain, key=lambda x: (gain[x] - price * held[x], len(name[x]), name[x]))
-        if gain[key] < least:
+    gain = {w: len(h) for w, h in holders.items() if len(h) >= least and len(h) > price * cost.get(w, 0)}
+    out: list[int] = []
+    while gain and len(out) < MAX_LANDMARKS:
+        best = max(gain, key=lambda w: (gain[w] - price * cost.get(w, 0), len(holders[w]), -w))
+        if gain[best] - price * cost.get(best, 0) <= 0:
             break
-        mark = name[key]
-        out.append(mark)
+        out.append(best)
         touched = set()
-        for pair in [(i, k) for i, k in inside if mark in words[i][k]]:
-            for x in inside.pop(pair):
-                spots[x].discard(pair)
-                touched.add(x)
-        for x in touched:
-            gain[x] = len({i for i, _ in spots[x]})
-            if not gain[x]:
-                del gain[x]
-    return out
-
-
-def _svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 60) -> np.ndarray:
-    """Weights of a linear SVM by dual coordinate ascent; the classes weigh alike."""
-    limit = np.where(y > 0, cost * len(y) / (2 * (y > 0).sum()), cost * len(y) / (2 * (y < 0).sum()))
+        for i in holders[best]:
+            touched.update(w for w in toxic[i] if w in gain)
+        for w in touched:
+            holders[w] = holders[w] - holders[best] if w != best else holders[w]
+            gain[w] = len(holders[w])
+        gain = {w: g for w, g in gain.items() if g >= least and w != best}
+    every = sorted({w for words in clean for w in words}, key=lambda w: (w * 0x9E3779B1 & 0xFFFFFFFF, w))
+    return out, [w for w in every if w not in set(out)][:CLEAN_LANDMARKS]
+
+
+def _svm(x: np.ndarray, y: np.ndarray, limit: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Weights of a linear SVM by dual coordinate ascent; ``limit`` bounds each row's part."""
     alpha, w, norm = np.zeros(len(y)), np.zeros(x.shape[1]), (x * x).sum(1) + 1e-9
     order = np.random.default_rng(0)
     for _ in range(rounds):
@@ -291,41 +336,108 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 60) -> n
                 w += (new - alpha[i]) * y[i] * x[i]
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
-        if moved < 1e-4:
+        if moved < 1e-3:
             break
     return w
 
 
+def _inserted(word: bytes, salt: int) -> list[bytes]:
+    """The word with one symbol inserted at each inner place."""
+    return [word[:k] + bytes([1 + (salt * 7 + k * 11 + sum(word)) % 26]) + word[k:] for k in range(1, len(word))]
+
+
+def _link(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic link by Newton's method, a step halved until it helps; the last feature is constant."""
+    keep = np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
+    loss = lambda w: np.logaddexp(0, -y * (x @ w)).sum() + (keep * w * w).sum() / 2
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (p - (y > 0)) + keep * w
+        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(keep), g)
+        scale = 1.0
+        while scale > 1e-6 and loss(w - scale * step) > loss(w):
+            scale /= 2
+        w = w - scale * step
+        if np.abs(scale * step).max() < 1e-6:
+            break
+    return w
+
+
+def fit_words(words: Words, each: list[bytes], toxic: list[set[int]], clean: list[set[int]]) -> Machine | None:
+    """The machine over words; None if no word of a toxic text tells it apart."""
+    toxic = [toxic[k] for k in families(toxic)]  # the words of a copied text tell nothing by coming often
+    insults, usual = choose_landmarks(toxic, clean)
+    if not insults:
+        insults, usual = choose_landmarks(toxic, clean, 1)
+    if not insults or not any(clean):
+        return None
+    chosen = insults + usual
+    in_clean = np.zeros(words.n, bool)
+    for b in clean:
+        in_clean[list(b)] = True
+    marks = Landmarks([each[w] for w in chosen])
+    gram = marks.values([each[w] for w in chosen])
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
+    rank = {w: k for k, w in enumerate(insults)}
+    stand_in = [min(b & rank.keys(), key=rank.get) for b in toxic if b & rank.keys()]
+    others = np.flatnonzero(in_clean)
+    hard = set(np.random.default_rng(1).permutation(others)[:HARD_WORDS].tolist())
+    machine = None
+    for _ in range(ROUNDS):
+        times: dict[bytes, float] = {}
+        for w in stand_in:
+            times[each[w]] = times.get(each[w], 0.0) + 1
+        good, weight = list(times), list(times.values())
+        for k, word in enumerate(list(good)):
+            more = _inserted(word, k)
+            good += more
+            weight += [times[word] / len(more)] * len(more)
+        bad = [each[w] for w in sorted(hard - set(stand_in))]
+        x = marks.values(good + bad) @ root
+        side = np.r_[np.ones(len(good)), -np.ones(len(bad))]
+        # clean words weigh as much as the toxic ones together
+        limit = 10 * np.r_[np.array(weight) * len(bad) / max(1.0, sum(weight)), np.ones(len(bad))]
+        w = _svm(np.c_[x, np.ones(len(x))], side, limit)
+        machine = Machine(marks.folded(root @ w[:-1]), float(w[-1]))
+        margin = machine.margins(words)
+        new = [w for w in (max(b, key=lambda k: (margin[k], -k)) for b in toxic if b) if margin[w] > -0.5]
+        worst = others[np.argsort(-margin[others], kind="stable")[:HARD_WORDS]]
+        fresh = {int(k) for k in worst if margin[k] > -0.9} - hard
+        if not new or (new == stand_in and not fresh):
+            break
+        stand_in, hard = new, hard | fresh
+    return machine
+
+
 def train(texts: list[str], labels: list[int]) -> Model | None:
-    y = np.where(np.array(labels) == 1, 1.0, -1.0)
+    """The model of some texts; None if a class is missing or no word of a toxic text tells it apart."""
+    raw: dict[bytes, int] = {}
+    for t, label in zip(texts, labels, strict=True):  # copies count once
+        p = prepared(t)
+        raw[p] = max(raw.get(p, 0), label)
+    y = np.where(np.array(list(raw.values())) == 1, 1.0, -1.0)
     if not (y > 0).any() or not (y < 0).any():
         return None
-    raw = [prepared(t) for t in texts]
-    bad, good = ([r for r, v in zip(raw, y, strict=True) if v == k] for k in (1, -1))
-    marks = landmarks(bad, good) or landmarks(bad, good, least=1)
-    if not marks:
+    words = Words.of(list(raw))
+    each = words.each()
+    bags: list[set[int]] = [set() for _ in y]
+    for d, w in zip(words.doc.tolist(), words.word.tolist(), strict=True):
+        bags[d].add(w)
+    half = np.array([zlib.crc32(p) & 1 for p in raw])
+
+    def machine(rows: np.ndarray) -> Machine | None:
+        return fit_words(words, each, [bags[k] for k in rows if y[k] > 0], [bags[k] for k in rows if y[k] < 0])
+
+    whole = machine(np.arange(len(y)))
+    if whole is None:
         return None
-    own = np.array([kernel([m], m)[0] for m in marks])
-    gram = np.stack([kernel(marks, m) for m in marks]) / np.sqrt(np.outer(own, own))
-    values, vectors = np.linalg.eigh(gram)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    z = coordinates(features(texts, marks, own), root)
-    z, back, times = np.unique(np.round(np.c_[z, y], 9), axis=0, return_inverse=True, return_counts=True)
-    rows = np.repeat(np.arange(len(z)), np.minimum(times, 1 << 20))
-    w = _svm(np.c_[z[rows, :-1], np.ones(len(rows))], z[rows, -1])
-    margin = z[:, :-1] @ w[:-1] + w[-1]
-    # a logistic link, by Newton's method on the training margins
-    target, slope, shift = (z[:, -1] + 1) / 2, 1.0, 0.0
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-(slope * margin + shift)))
-        g = times * (p - target)
-        v = times * np.maximum(p * (1 - p), 1e-6)
-        hess = np.array([[(v * margin**2).sum() + 1, (v * margin).sum()], [(v * margin).sum(), v.sum() + 1e-3]])
-        step = np.linalg.solve(hess, [(g * margin).sum() + (slope - 1), g.sum()])
-        slope, shift = slope - step[0], shift - step[1]
-    if not np.isfinite(slope + shift) or slope <= 0:
-        slope, shift = 1.0, 0.0
-    return Model(marks, own, root, w[:-1], float(w[-1]), float(slope), float(shift))
+    x = np.zeros((len(y), TOP + len(COUNTED) + 2))
+    for side in (0, 1):
+        other = machine(np.flatnonzero(half != side)) or whole
+        x[half == side] = pooled(words, other.margins(words), len(y))[half == side]
+    return Model(whole, _link(x, y))
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
