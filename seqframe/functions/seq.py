@@ -24,6 +24,46 @@ def let(value, body) -> Column:
     return F.get(F.transform(F.array(col(value)), body), F.lit(0))
 
 
+class Text:
+    """A text bound in a lambda.  As bytes a place is reached at once; as a string Spark walks to it from the start."""
+
+    def __init__(self, x: Column, as_bytes: bool):
+        self.x, self.as_bytes = x, as_bytes
+
+    @property
+    def length(self) -> Column:
+        return F.length(self.x)
+
+    def sub(self, i, n) -> Column:
+        """n symbols from the 1-based place i."""
+        got = F.substring(self.x, i, F.lit(n) if isinstance(n, int) else n)
+        return got.cast("string") if self.as_bytes else got
+
+    def at(self, i) -> Column:
+        return self.sub(i, 1)
+
+    def starts(self, k) -> Column:
+        """1-based starts of all windows of k symbols; an empty array when there are none."""
+        n = self.length - k + 1
+        return F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+
+def read(body, *texts) -> Column:
+    """body of a Text for each of the strings, worked out once; ASCII ones are read as bytes, so that a lambda over
+    all places takes time in proportion to the length."""
+    names = [f"t{k}" for k in range(len(texts))]
+
+    def choose(v: Column) -> Column:
+        ascii_only, raw = F.lit(True), []
+        for n in names:
+            ascii_only = ascii_only & (F.octet_length(v[n]) == F.length(v[n]))
+            raw.append(v[n].cast("binary").alias(n))
+        fast = let(F.struct(*raw), lambda b: body(*[Text(b[n], True) for n in names]))
+        return F.when(ascii_only, fast).otherwise(body(*[Text(v[n], False) for n in names]))
+
+    return let(F.struct(*[col(t).alias(n) for t, n in zip(texts, names, strict=True)]), choose)
+
+
 def to_lower(s) -> Column:
     """ASCII letters only; everything else as it is."""
     return F.translate(col(s), _UPPER, _LOWER)
@@ -105,14 +145,12 @@ def starts(s, k: Column | int) -> Column:
 
 def windows(s, k: int) -> Column:
     """Array of struct(pos, kmer) of all k-mers."""
-    each = lambda x: F.transform(starts(x, k), lambda i: F.struct((i - 1).alias("pos"), F.substring(x, i, F.lit(k)).alias("kmer")))
-    return let(s, each)
+    return read(lambda t: F.transform(t.starts(k), lambda i: F.struct((i - 1).alias("pos"), t.sub(i, k).alias("kmer"))), s)
 
 
 def symbols(s) -> Column:
     """Array of the symbols."""
-    s = col(s)
-    return F.transform(starts(s, 1), lambda i: F.substring(s, i, F.lit(1)))
+    return read(lambda t: F.transform(t.starts(1), t.at), s)
 
 
 def all_index(s, motif: Column | str, fold: bool = False) -> Column:
@@ -124,11 +162,12 @@ def all_index(s, motif: Column | str, fold: bool = False) -> Column:
     if fold:
         s, m = to_upper(s), to_upper(m)
 
-    def hits(x: Column, y: Column) -> Column:
-        return F.transform(F.filter(starts(x, F.length(y)), lambda i: F.substring(x, i, F.length(y)) == y), lambda i: i - 1)
+    def hits(x: Text, y: Text) -> Column:
+        # bytes are compared as they are
+        same = lambda i: F.substring(x.x, i, y.length) == y.x
+        return F.transform(F.filter(x.starts(y.length), same), lambda i: i - 1)
 
-    found = let(F.struct(s.alias("s"), m.alias("m")), lambda v: hits(v["s"], v["m"]))
-    return F.when(F.length(m) > 0, found).otherwise(F.array().cast("array<int>"))
+    return F.when(F.length(m) > 0, read(hits, s, m)).otherwise(F.array().cast("array<int>"))
 
 
 def all_count(s, motif: str, fold: bool = False) -> Column:
@@ -148,8 +187,7 @@ def first_index(s, motif: Column | str) -> Column:
 def hamming(s, t, fold: bool = False) -> Column:
     """Number of places that differ; an error for unequal lengths."""
     s, t = (to_upper(s), to_upper(t)) if fold else (col(s), col(t))
-    differ = lambda v: F.size(F.filter(starts(v["s"], 1), lambda i: F.substring(v["s"], i, F.lit(1)) != F.substring(v["t"], i, F.lit(1))))
-    n = let(F.struct(s.alias("s"), t.alias("t")), differ)
+    n = read(lambda x, y: F.size(F.filter(x.starts(1), lambda i: x.at(i) != y.at(i))), s, t)
     return F.when(F.length(s) == F.length(t), n).otherwise(F.raise_error(F.lit("sequences of unequal length")).cast("int"))
 
 
@@ -157,39 +195,58 @@ def p_distance(s, t, fold: bool = False) -> Column:
     return ieee_div(hamming(s, t, fold), F.length(col(s)))
 
 
-def window_hamming(s, motif: Column, i: Column) -> Column:
+#: A motif given as a plain str of up to so many symbols is compared place by place without an array of places.
+UNROLLED = 64
+
+
+def window_hamming(s: Text, motif: Text | str, i: Column) -> Column:
     """Differences of the motif and the window of s from the 1-based place i."""
-    n = F.length(motif)
-    return F.size(
-        F.filter(F.sequence(F.lit(1), n), lambda j: F.substring(s, i + j - 1, F.lit(1)) != F.substring(motif, j, F.lit(1)))
-    )
+    if isinstance(motif, str):
+        out = F.lit(0)
+        for j, c in enumerate(motif):
+            out = out + (s.at(i + j) != c).cast("int")
+        return out
+    return F.size(F.filter(F.sequence(F.lit(1), motif.length), lambda j: s.at(i + j - 1) != motif.at(j)))
+
+
+def _with_motif(s, motif: Column | str, body) -> Column:
+    """body(Text, motif, length of the motif) with the motif as a str or as a Text."""
+    if isinstance(motif, str) and 0 < len(motif) <= UNROLLED:
+        return read(lambda x: body(x, motif, F.lit(len(motif))), s)
+    return read(lambda x, m: body(x, m, m.length), s, F.lit(motif) if isinstance(motif, str) else motif)
 
 
 def hamming_all_index(s, motif: str, d: int) -> Column:
     """Positions of the windows that differ from the motif in at most d places."""
-    m = F.lit(motif)
-    near = lambda x: F.transform(F.filter(starts(x, len(motif)), lambda i: window_hamming(x, m, i) <= d), lambda i: i - 1)
-    return let(s, near)
+
+    def near(x: Text, m, n: Column) -> Column:
+        return F.transform(F.filter(x.starts(n), lambda i: window_hamming(x, m, i) <= d), lambda i: i - 1)
+
+    return _with_motif(s, motif, near)
 
 
 def motif_hamming(s, motif: Column | str) -> Column:
     """Least differences of any window, whatever the case; the motif's length when s is shorter."""
-    s, m = to_upper(s), to_upper(F.lit(motif) if isinstance(motif, str) else motif)
-    least = lambda v: F.array_min(F.transform(starts(v["s"], F.length(v["m"])), lambda i: window_hamming(v["s"], v["m"], i)))
-    return F.coalesce(let(F.struct(s.alias("s"), m.alias("m")), least), F.length(m))
+
+    def least(x: Text, m, n: Column) -> Column:
+        return F.array_min(F.transform(x.starts(n), lambda i: window_hamming(x, m, i)))
+
+    m = to_upper(F.lit(motif)) if isinstance(motif, str) else to_upper(motif)
+    folded = motif.translate(str.maketrans(_LOWER, _UPPER)) if isinstance(motif, str) else m
+    return F.coalesce(_with_motif(to_upper(s), folded, least), F.length(m))
 
 
 def nearest_kmers(s, motif: str, fold: bool = False) -> Column:
     """Windows with the least differences from the motif, in order, repeated ones too."""
-    s, m = (to_upper(s), F.lit(motif.upper())) if fold else (col(s), F.lit(motif))
+    s, motif = (to_upper(s), motif.translate(str.maketrans(_LOWER, _UPPER))) if fold else (col(s), motif)
 
-    def near(v: Column) -> Column:
-        at = F.transform(starts(v, len(motif)), lambda i: F.struct(window_hamming(v, m, i).alias("d"), i.alias("i")))
-        least = lambda x: F.struct(x.alias("at"), F.array_min(F.transform(x, lambda y: y["d"])).alias("least"))
-        pick = lambda z: F.transform(F.filter(z["at"], lambda y: y["d"] == z["least"]), lambda y: F.substring(v, y["i"], F.lit(len(motif))))
+    def near(x: Text, m, n: Column) -> Column:
+        at = F.transform(x.starts(n), lambda i: F.struct(window_hamming(x, m, i).alias("d"), i.alias("i")))
+        least = lambda y: F.struct(y.alias("at"), F.array_min(F.transform(y, lambda z: z["d"])).alias("least"))
+        pick = lambda v: F.transform(F.filter(v["at"], lambda z: z["d"] == v["least"]), lambda z: x.sub(z["i"], n))
         return let(let(at, least), pick)
 
-    return let(s, near)
+    return _with_motif(s, motif, near)
 
 
 def splice(s, introns: list[str]) -> Column:
@@ -201,22 +258,23 @@ def palindromes(s, least: int, most: int) -> Column:
     """Array of struct(pos, len) of even-length reverse palindromes, centre by centre, inner first."""
     low, high = max(2, least + least % 2) // 2, most // 2
 
-    def all_(v: Column) -> Column:
-        # the strand that stands opposite, read from the other end: place c there is place n - c here
-        n = F.length(v["s"])
+    def all_(x: Text, y: Text) -> Column:
+        # y is the strand that stands opposite, read from the other end: place c there is place n - c here
+        n = x.length
 
         def at(c: Column) -> Column:
             # c symbols stand left of the centre
             reach = F.least(c, n - c, F.lit(high))
             halves = F.when(reach >= low, F.sequence(F.lit(low), reach)).otherwise(F.array().cast("array<int>"))
-            fits = F.filter(halves, lambda h: F.substring(v["s"], c + 1, h) == F.substring(v["o"], n - c + 1, h))
+            fits = F.filter(halves, lambda h: F.substring(x.x, c + 1, h) == F.substring(y.x, n - c + 1, h))
             return F.transform(fits, lambda h: F.struct((c - h).alias("pos"), (2 * h).alias("len")))
 
+        # the two symbols at the centre match first
         centres = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.flatten(F.transform(centres, at))
+        inner = F.filter(centres, lambda c: F.substring(x.x, c + 1, F.lit(1)) == F.substring(y.x, n - c + 1, F.lit(1)))
+        return F.flatten(F.transform(inner, at))
 
-    upper = to_upper(s)
-    return let(F.struct(upper.alias("s"), reverse_complement8(upper).alias("o")), all_)
+    return let(to_upper(s), lambda u: read(all_, u, reverse_complement8(u)))
 
 
 def codon_index(codon: Column) -> Column:
@@ -237,12 +295,12 @@ def is_start_codon(codon: Column) -> Column:
 def residues(s, frame: int = 0) -> Column:
     """All codons from the frame on as one string, stops as ``*``; an incomplete codon is left out."""
 
-    def read(x: Column) -> Column:
-        n = F.floor((F.length(x) - frame) / 3).cast("int")
-        each = F.transform(F.sequence(F.lit(0), n - 1), lambda k: translate_codon(F.substring(x, k * 3 + frame + 1, F.lit(3))))
-        return F.when(n >= 1, F.array_join(each, "")).otherwise(F.when(x.isNotNull(), F.lit("")))
+    def codons(t: Text) -> Column:
+        n = F.floor((t.length - frame) / 3).cast("int")
+        each = F.transform(F.sequence(F.lit(0), n - 1), lambda k: translate_codon(t.sub(k * 3 + frame + 1, 3)))
+        return F.when(n >= 1, F.array_join(each, "")).otherwise(F.when(t.length.isNotNull(), F.lit("")))
 
-    return let(s, read)
+    return read(codons, s)
 
 
 def translate(s) -> Column:
@@ -284,44 +342,44 @@ def fasta_description(header) -> Column:
 def titv(s, t) -> Column:
     """Transitions over transversions of two sequences; symbols that are no bases do not count."""
 
-    def pairs(v: Column) -> Column:
-        return F.transform(starts(v["s"], 1), lambda i: F.concat(F.substring(v["s"], i, F.lit(1)), F.substring(v["t"], i, F.lit(1))))
+    def pairs(x: Text, y: Text) -> Column:
+        return F.transform(x.starts(1), lambda i: F.concat(x.at(i), y.at(i)))
 
     def ratio(p: Column) -> Column:
         ti = F.size(F.filter(p, lambda x: x.isin("AG", "GA", "CT", "TC")))
         tv = F.size(F.filter(p, lambda x: x.isin("AC", "CA", "AT", "TA", "GC", "CG", "GT", "TG")))
         return ieee_div(ti, tv)
 
-    return let(let(F.struct(to_upper(s).alias("s"), to_upper(t).alias("t")), pairs), ratio)
+    return let(read(pairs, to_upper(s), to_upper(t)), ratio)
 
 
 def linear_gap(s, t, score, penalty: int) -> Column:
     """Score of an alignment: each gap column costs the penalty."""
-    s, t = col(s), col(t)
 
-    def place(i: Column) -> Column:
-        x, y = F.substring(s, i, F.lit(1)), F.substring(t, i, F.lit(1))
-        return F.when((x == "-") | (y == "-"), F.lit(-penalty)).otherwise(score(x, y))
+    def total(x: Text, y: Text) -> Column:
+        def place(i: Column) -> Column:
+            a, b = x.at(i), y.at(i)
+            return F.when((a == "-") | (b == "-"), F.lit(-penalty)).otherwise(score(a, b))
 
-    return F.aggregate(starts(s, 1), F.lit(0), lambda a, i: a + place(i))
+        return F.aggregate(x.starts(1), F.lit(0), lambda acc, i: acc + place(i))
+
+    return read(total, s, t)
 
 
 def constant_gap(s, t, score, penalty: int) -> Column:
     """Score of an alignment: each run of gaps on one side costs the penalty once."""
-    s, t = col(s), col(t)
 
-    def state(i: Column) -> Column:
-        return F.when(F.substring(s, i, F.lit(1)) == "-", 1).when(F.substring(t, i, F.lit(1)) == "-", 2).otherwise(0)
+    def total(x: Text, y: Text) -> Column:
+        def state(i: Column) -> Column:
+            return F.when(x.at(i) == "-", 1).when(y.at(i) == "-", 2).otherwise(0)
+
+        def place(i: Column) -> Column:
+            now, before = state(i), F.when(i > 1, state(i - 1)).otherwise(0)
+            return F.when(now == 0, score(x.at(i), y.at(i))).when(now != before, F.lit(-penalty)).otherwise(F.lit(0))
 
-    def place(i: Column) -> Column:
-        now, before = state(i), F.when(i > 1, state(i - 1)).otherwise(0)
-        return (
-            F.when(now == 0, score(F.substring(s, i, F.lit(1)), F.substring(t, i, F.lit(1))))
-            .when(now != before, F.lit(-penalty))
-            .otherwise(F.lit(0))
-        )
+        return F.aggregate(x.starts(1), F.lit(0), lambda acc, i: acc + place(i))
 
-    return F.aggregate(starts(s, 1), F.lit(0), lambda a, i: a + place(i))
+    return read(total, s, t)
 
 
 def matrix_score(scores: dict[tuple[str, str], int]):

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..alphabet import INTEGER_MASS, MASS_SYMBOL, MONO_MASS, WATER_MONO
-from .seq import col, symbols
+from .seq import col, let, symbols
 
 
 def _map(values: dict, kind: str) -> Column:
@@ -57,30 +57,38 @@ def prefix_spectrum(masses, kind: str = "int") -> Column:
 
 def ideal_spectrum(masses) -> Column:
     """Sorted prefix masses from 0 and suffix masses from the whole: twice as many as residues."""
-    p = prefix_sums(masses)
-    head = F.slice(p, F.lit(1), F.size(p) - 1)
-    return F.array_sort(F.concat(head, F.transform(head, lambda x: F.element_at(p, -1) - x)))
+
+    def both(p: Column) -> Column:
+        head = F.slice(p, F.lit(1), F.size(p) - 1)
+        return F.array_sort(F.concat(head, F.transform(head, lambda x: F.element_at(p, -1) - x)))
+
+    return let(prefix_sums(masses), both)
 
 
 def linear_spectrum(masses, kind: str = "int") -> Column:
     """Sorted masses of 0 and of every run of residues."""
-    p = prefix_sums(masses, kind)
-    runs = F.flatten(
-        F.transform(p, lambda x, i: F.transform(F.slice(p, i + 2, F.size(p) - i - 1), lambda y: y - x))
-    )
-    return F.array_sort(F.concat(_zero(p, kind), runs))
+
+    def runs(p: Column) -> Column:
+        each = F.transform(p, lambda x, i: F.transform(F.slice(p, i + 2, F.size(p) - i - 1), lambda y: y - x))
+        return F.array_sort(F.concat(F.array(F.lit(0).cast(kind)), F.flatten(each)))
+
+    return let(prefix_sums(masses, kind), runs)
 
 
 def cyclic_spectrum(masses, kind: str = "int") -> Column:
     """Sorted masses of 0, every proper run around the ring, and the whole."""
     m = col(masses)
-    n, p = F.size(m), prefix_sums(F.concat(m, m), kind)
-    each = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.transform(F.slice(p, i + 1, n - 1), lambda y: y - F.element_at(p, i)),
-    )
-    whole = F.array(F.element_at(p, n + 1))
-    return F.when(n > 0, F.array_sort(F.concat(_zero(m, kind), F.flatten(each), whole))).otherwise(_zero(m, kind))
+
+    def runs(v: Column) -> Column:
+        n, p = v["n"], v["p"]
+        each = F.transform(
+            F.sequence(F.lit(1), n),
+            lambda i: let(F.element_at(p, i), lambda x: F.transform(F.slice(p, i + 1, n - 1), lambda y: y - x)),
+        )
+        return F.array_sort(F.concat(F.array(F.lit(0).cast(kind)), F.flatten(each), F.array(F.element_at(p, n + 1))))
+
+    ring = F.struct(F.size(m).alias("n"), prefix_sums(F.concat(m, m), kind).alias("p"))
+    return F.when(F.size(m) > 0, let(ring, runs)).otherwise(_zero(m, kind))
 
 
 def quantize(masses, scale: float) -> Column:
@@ -88,18 +96,23 @@ def quantize(masses, scale: float) -> Column:
     return F.transform(col(masses), lambda m: F.floor(m * scale + 0.5).cast("long"))
 
 
+def _times(xs: Column, v: Column) -> Column:
+    return F.size(F.filter(xs, lambda x: x == v))
+
+
 def common_count(a, b) -> Column:
     """Size of the multiset intersection of two arrays."""
-    a, b = col(a), col(b)
-    n = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, v: acc + F.least(n(a, v), n(b, v)))
+
+    def count(v: Column) -> Column:
+        return F.aggregate(F.array_distinct(v["a"]), F.lit(0), lambda acc, x: acc + F.least(_times(v["a"], x), _times(v["b"], x)))
+
+    return let(F.struct(col(a).alias("a"), col(b).alias("b")), count)
 
 
 def consistent(a, b) -> Column:
     """Every value of a is in b at least as often."""
-    a, b = col(a), col(b)
-    n = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
-    return F.forall(F.array_distinct(a), lambda v: n(a, v) <= n(b, v))
+    every = lambda v: F.forall(F.array_distinct(v["a"]), lambda x: _times(v["a"], x) <= _times(v["b"], x))
+    return let(F.struct(col(a).alias("a"), col(b).alias("b")), every)
 
 
 def parse_floats(texts) -> Column:

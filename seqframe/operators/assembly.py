@@ -19,10 +19,7 @@ def de_bruijn(kmers: DataFrame) -> DataFrame:
 
 def de_bruijn_of(seqs: DataFrame, k: int) -> DataFrame:
     """id, src, dst, n: the arcs of the k-mers of each sequence."""
-    s = F.col("seq")
-    at = F.transform(
-        S.starts(s, k), lambda i: F.struct(F.substring(s, i, F.lit(k - 1)).alias("src"), F.substring(s, i + 1, F.lit(k - 1)).alias("dst"))
-    )
+    at = S.read(lambda t: F.transform(t.starts(k), lambda i: F.struct(t.sub(i, k - 1).alias("src"), t.sub(i + 1, k - 1).alias("dst"))), "seq")
     return seqs.select("id", F.inline(at)).groupBy("id", "src", "dst").agg(F.count("*").alias("n"))
 
 

@@ -71,21 +71,16 @@ def read_break(reads: DataFrame, k: int) -> DataFrame:
 
 def read_pairs(seqs: DataFrame, k: int, d: int) -> DataFrame:
     """id, a, b, n: pairs of k-mers that stand d symbols apart."""
-    s = F.col("seq")
-    at = F.transform(
-        S.starts(s, 2 * k + d),
-        lambda i: F.struct(F.substring(s, i, F.lit(k)).alias("a"), F.substring(s, i + k + d, F.lit(k)).alias("b")),
+    at = S.read(
+        lambda t: F.transform(t.starts(2 * k + d), lambda i: F.struct(t.sub(i, k).alias("a"), t.sub(i + k + d, k).alias("b"))), "seq"
     )
     return seqs.select("id", F.inline(at)).groupBy("id", "a", "b").agg(F.count("*").alias("n"))
 
 
 def pair_read_break(pairs: DataFrame, k: int) -> DataFrame:
     """d, a, b, n: read pairs (d, a, b) broken into pairs of shorter ones."""
-    a, b = F.col("a"), F.col("b")
-    at = F.transform(
-        S.starts(a, k), lambda i: F.struct(F.substring(a, i, F.lit(k)).alias("x"), F.substring(b, i, F.lit(k)).alias("y"))
-    )
-    broken = pairs.select((F.col("d") + F.length(a) - k).alias("d"), F.inline(at))
+    at = S.read(lambda a, b: F.transform(a.starts(k), lambda i: F.struct(a.sub(i, k).alias("x"), b.sub(i, k).alias("y"))), "a", "b")
+    broken = pairs.select((F.col("d") + F.length("a") - k).alias("d"), F.inline(at))
     return broken.groupBy("d", F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("n"))
 
 

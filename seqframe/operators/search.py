@@ -29,9 +29,12 @@ def peptide_sites(seqs: DataFrame, peptide: str, distinct: bool = False) -> Data
 
 def open_reading_frames(seqs: DataFrame) -> DataFrame:
     """id, peptide: the distinct peptides from any start codon of either strand to a stop."""
-    f = frames(seqs).select("id", "residues", F.explode(S.all_index("residues", "M")).alias("at"))
-    tail = F.substring(F.col("residues"), F.col("at") + 1, F.length("residues"))
-    return f.select("id", tail.alias("t")).where(F.instr("t", "*") > 0).select("id", F.split_part("t", F.lit("*"), F.lit(1)).alias("peptide")).distinct()
+    # what stands before a stop, cut into the tails from each start codon
+    pieces = F.split("residues", F.lit("\\*"), -1)
+    closed = frames(seqs).select("id", F.explode(S.let(pieces, lambda p: F.slice(p, F.lit(1), F.size(p) - 1))).alias("t"))
+    closed = closed.where(F.instr("t", "M") > 0).distinct()
+    tails = S.read(lambda t: F.transform(F.filter(t.starts(1), lambda i: t.at(i) == "M"), lambda i: t.sub(i, t.length)), "t")
+    return closed.select("id", F.explode(tails).alias("peptide")).distinct()
 
 
 def suffix_index(seqs: DataFrame, sentinel: str = "$") -> DataFrame:

@@ -307,7 +307,7 @@ def partial_digest(t):
 
 @query("SELECT n_name AS id, 'region ' || n_regionkey AS descr, translate(md5(CAST(n_nationkey AS VARCHAR)), '0123456789abcdef', 'ACTGACTGACTGACTG') AS seq FROM nation")
 def fasta_round_trip(t):
-    """Sequences written as FASTA text and read again."""
+    """Sequences written as FASTA text, several files of several records, and read again."""
     import uuid
 
     from ..operators.stages import folder
@@ -315,5 +315,5 @@ def fasta_round_trip(t):
     n = t.read("nation").select(F.col("n_nationkey").cast("long").alias("id"), "n_name", "n_regionkey")
     rows = t.nations.join(n, "id").select(F.concat(F.lit(">"), "n_name", F.lit(" region "), F.col("n_regionkey").cast("string")).alias("header"), "seq")
     path = f"{folder(t.spark)}/seqframe/{uuid.uuid4().hex}"
-    fasta.write(rows, path, 10)
+    fasta.write(rows.repartition(4), path, 10)
     return fasta.read(t.spark, path).select("id", "descr", "seq")

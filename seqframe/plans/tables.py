@@ -17,21 +17,26 @@ RESIDUE16 = "ACDEFGHIKLMNPQRS"
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, parallel: int | None = None):
         self.spark, self.sf_dir = spark, sf_dir
+        self.parallel = parallel or spark.sparkContext.defaultParallelism
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Rows dealt over ``parallel`` tasks where the files have fewer splits: the expressions on them take far longer than the shuffle."""
+        return df.repartition(self.parallel) if df.rdd.getNumPartitions() < self.parallel else df
+
     def _mers(self, table: str, key: str) -> DataFrame:
         text = F.translate(F.md5(F.col(key).cast("string").cast("binary")), HEX, BASE16)
-        return self.read(table).select(F.col(key).cast("long").alias("id"), text.alias("seq"))
+        return self.spread(self.read(table).select(F.col(key))).select(F.col(key).cast("long").alias("id"), text.alias("seq"))
 
     @cached_property
     def dna(self) -> DataFrame:
         """Plain DNA of mixed case and any length: the A, C, G, T of each document."""
         text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ACGTacgt]", "")
-        return self.read("documents").select(F.col("doc_id").alias("id"), text.alias("seq"))
+        return self.spread(self.read("documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), text.alias("seq"))
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -50,7 +55,7 @@ class Tables:
     def peptides(self) -> DataFrame:
         """Peptides of 32 residues, one for each part."""
         text = F.translate(F.md5(F.col("p_partkey").cast("string").cast("binary")), HEX, RESIDUE16)
-        return self.read("part").select(F.col("p_partkey").alias("id"), text.alias("seq"))
+        return self.spread(self.read("part").select("p_partkey")).select(F.col("p_partkey").alias("id"), text.alias("seq"))
 
     @cached_property
     def spectra(self) -> DataFrame:

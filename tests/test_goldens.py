@@ -211,6 +211,92 @@ def test_fasta(spark, tmp_path):
     assert spark.read.format("fasta").load(str(tmp_path / "in")).count() == 2
 
 
+def test_fasta_of_many_files_and_splits(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    want = []
+    for k in range(7):
+        records = [(f">>s{k}" if j == 1 else f">s{k}_{j} d", "ACGT" * (k + 1)) for j in range(3)]
+        (folder / f"{k}.fa").write_text("\n" * (k % 3) + "".join(f"{h}\n{s[:5]}\n\n{s[5:]}\n" for h, s in records))
+        want += records
+    want = sorted(want)
+    read = lambda path: sorted((r["header"], r["seq"]) for r in fasta.read(spark, str(path)).collect())
+    assert read(folder) == want  # several files a task
+    big = [(f">r{k} x", "ACGT" * (k % 50 + 1)) for k in range(3000)]
+    (tmp_path / "big.fa").write_text("\n".join(f"{h}\n{s}" for h, s in big))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        assert fasta.read(spark, str(tmp_path / "big.fa")).rdd.getNumPartitions() > 3
+        assert read(tmp_path / "big.fa") == sorted(big)  # one file over several tasks
+        assert read(folder) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    fasta.register(spark)
+    for path in (str(folder), f"file://{folder}", f"{folder}/*.fa"):
+        assert sorted((r["header"], r["seq"]) for r in spark.read.format("fasta").load(path).collect()) == want
+    (folder / "bad.fa").write_text("ACGT\n>x\nAC\n")
+    with pytest.raises(Exception, match="No header"):
+        fasta.read(spark, str(folder)).collect()
+    assert len(fasta.read(spark, str(folder), strict=False).collect()) == len(want) + 1
+
+
+def test_fasta_stream_takes_late_files_of_any_name(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "m.fa").write_text(">m one\nAC\nGT\n>>n\nTT\n")
+    q = fasta.stream(spark, str(folder)).writeStream.format("memory").queryName("records").outputMode("append").start()
+    try:
+        q.processAllAvailable()
+        (folder / "a.fa").write_text(">a\nGG\n")  # sorts before what was read
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted((r["header"], r["seq"]) for r in spark.table("records").collect()) == [(">>n", "TT"), (">a", "GG"), (">m one", "ACGT")]
+
+
+def test_running_profile(spark, tmp_path):
+    from seqframe import streaming
+
+    spark.createDataFrame([(0, "ACG"), (1, "ATG")], "id int, seq string").write.parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema("id int, seq string").parquet(str(tmp_path / "s"))
+    q = streaming.running_profile(stream).writeStream.format("memory").queryName("profile").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r["a"], r["c"], r["t"], r["g"]) for r in spark.table("profile").orderBy("pos").collect()] == [(2, 0, 0, 0), (0, 1, 1, 0), (0, 0, 0, 2)]
+
+
+def test_time_grows_with_the_length(spark):
+    """Eight times the length takes less than twelve times the time: expressions do not walk to each place anew."""
+    import time
+
+    from seqframe.functions import seq as S
+
+    def seconds(n, expression):
+        rows = spark.createDataFrame([("ACGTTGCATG" * (n // 10),)], "seq string").repartition(1).cache()
+        rows.count()
+        best = 9e9
+        for _ in range(2):
+            at = time.perf_counter()
+            rows.select(expression).write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - at)
+        return best
+
+    for expression in (S.all_index("seq", "GCATGA"), S.residues("seq"), S.hamming_all_index("seq", "GCATGA", 1), S.palindromes("seq", 4, 8)):
+        assert seconds(240_000, expression) < 12 * max(0.1, seconds(30_000, expression))
+
+
+def test_texts_that_are_not_ascii(spark):
+    from seqframe.functions import seq as S
+
+    row = spark.createDataFrame([("é日aéa", "éa")], "seq string, m string").select(
+        S.all_index("seq", F.col("m")).alias("all"), S.symbols("seq").alias("symbols"), S.hamming("seq", F.lit("é日aea")).alias("d"),
+        S.hamming_all_index("seq", "éa", 1).alias("near"), S.windows("seq", 4).alias("w"),
+    ).first()
+    assert (row["all"], row["symbols"], row["d"], row["near"]) == ([3], list("é日aéa"), 1, [0, 1, 3])
+    assert [tuple(x) for x in row["w"]] == [(0, "é日aé"), (1, "日aéa")]
+
+
 def test_streams(spark, tmp_path):
     from seqframe import streaming
 
