@@ -55,23 +55,26 @@ def block_column(rows: DataFrame, key: str, total: int, per_block: int, most: in
     return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value))
 
 
-def stage_table(df: DataFrame, label: str) -> DataFrame:
+def stage_table(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage ends here, and a
-    lost executor costs only the reread of its files."""
+    lost executor costs only the reread of its files.  ``codec`` names a compression other than the session's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqframe/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     # the schema is known, so that an empty result is readable too
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared store with all it holds."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stage(df: DataFrame) -> None:
     """Remove the files of a staged table that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        drop_folder(df.sparkSession, folder)
 
 
 def per_worker(make: Callable, most: int = 8):

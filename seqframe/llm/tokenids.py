@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop_stage, per_worker, shared_dir, stage_table, table
+from .common import documents, drop_folder, drop_stage, per_worker, shared_dir, stage_table, table
 
 END_ID = 0
 FRAME_IDS = 1 << 18
@@ -82,6 +83,20 @@ def _load(path: str):
 _encoder = per_worker(_load)
 
 
+#: Texts are encoded together up to so many bytes.
+SLICE_BYTES = 1 << 23
+
+
+def slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose strings have SLICE_BYTES bytes in all, or one row."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64))
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        yield b.slice(at, to - at)
+        at = to
+
+
 TOKENS = "doc_id long, ids binary, wide boolean, counts binary"
 
 
@@ -93,18 +108,18 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
-        end = END_ID.to_bytes(4 if enc.wide else 2, "little")
-        total = np.zeros(enc.tok.get_vocab_size(), np.int64)
+        total = np.zeros(enc.size, np.int64)
+        wide = enc.dtype.itemsize == 4
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = [enc.encode(t or "") + end for t in part.column(1).to_pylist()]
-                total += np.bincount(_ids(b"".join(ids), enc.wide), minlength=len(total))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.array([enc.wide] * len(ids)), pa.nulls(len(ids), pa.binary())],
-                    ["doc_id", "ids", "wide", "counts"],
-                )
-        row = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([enc.wide]), pa.array([total.tobytes()], pa.binary())]
+            for part in slices(b, 1):
+                ids, sizes = enc.batch([t or "" for t in part.column(1).to_pylist()], END_ID)
+                total += np.bincount(ids, minlength=len(total))
+                n = part.num_rows
+                ends = np.concatenate([[0], np.cumsum(sizes)]) * enc.dtype.itemsize
+                raw = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)])
+                columns = [part.column(0), raw.cast(pa.binary()), pa.array(np.full(n, wide)), pa.nulls(n, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "wide", "counts"])
+        row = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([wide]), pa.array([total.tobytes()], pa.binary())]
         yield pa.RecordBatch.from_arrays(row, ["doc_id", "ids", "wide", "counts"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, TOKENS)
@@ -235,4 +250,6 @@ def op8_streamed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = f"{shared_dir(spark)}/seqframe/ids-{uuid.uuid4().hex}"
     write(documents(table(spark, sf_dir, "documents")), path("byte_bpe_50k.json"), out)
-    return digest(spark, out)
+    read_back = stage_table(digest(spark, out), "digest")
+    drop_folder(spark, out)
+    return read_back

@@ -185,10 +185,21 @@ def test_prefix_counts(real):
 
 def test_vocabulary_is_the_librarys(real):
     enc = vocab.Encoder(P.path("byte_bpe_50k.json"))
+    assert enc.merger
     rng = random.Random(4)
+    spaces = [c for c in map(chr, range(0x3100)) if c.isspace()]
     texts = [*ODD, "a<|endoftext|>b", *("".join(rng.choices("ab c  \n\t'sdé日　.,<|>", k=25)) for _ in range(300)), *(r["text"] for r in real.limit(50).collect())]
-    for t in texts:
-        assert np.frombuffer(enc.encode(t), "<u2").tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+    texts += ["".join(rng.choices(["a", "b ", " ", "'ll", "9", *spaces], k=rng.randint(1, 9))) for _ in range(1500)]
+    texts += [f"a{c} b{c}" for c in spaces] + [f"{c} {c}b c{c}" for c in spaces]
+    want = [x.ids for x in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    ids, sizes = enc.batch(texts, 0)
+    ends = np.cumsum(sizes).tolist()
+    for t, w, e, n in zip(texts, want, ends, sizes.tolist(), strict=True):
+        assert np.frombuffer(enc.encode(t), "<u2").tolist() == w
+        assert ids[e - n : e].tolist() == [*w, 0], t
+    enc.merger = None  # the library alone
+    assert all((a == b).all() for a, b in zip(enc.batch(texts[:400], 0), (ids[: ends[399]], sizes[:400]), strict=True))
+    assert [len(x) for x in enc.batch([], 0)] == [0, 0]
 
 
 def test_byte_code():
@@ -198,6 +209,32 @@ def test_byte_code():
         assert (tokenids.unpack(*tokenids.pack(v), n) == v).all()
 
 
+def test_token_files_of_odd_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenids, "FRAME_IDS", 50)
+    monkeypatch.setattr(tokenids, "SLICE_BYTES", 64)
+    enc = vocab.Encoder(P.path("byte_bpe_50k.json"))
+    rows = [(k % 40, f"text {k} " * (k % 9)) for k in range(120)] + [(None, "none"), (None, "none"), (7, "long " * 400), (3, None), (3, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash")).repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several shards
+    try:
+        tokenids.write(common.documents(table), P.path("byte_bpe_50k.json"), str(tmp_path / "o"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(str(tmp_path / "o" / "frames"))
+    assert files.select("shard").distinct().count() > 1 and files.agg(F.max("n_ids")).first()[0] > 50
+    back = tokenids.read(spark, str(tmp_path / "o")).orderBy("start").collect()
+    want = collections.Counter((d, tuple([*enc.tok.encode(t or "", add_special_tokens=False).ids, 0])) for d, t in rows)
+    assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in back) == want
+    keys = [-1 if r["doc_id"] is None else r["doc_id"] for r in back]
+    assert keys == sorted(keys)  # nulls first, then ascending
+    at = 0
+    for r in back:
+        assert (r["start"], r["n_tokens"]) == (at, len(r["ids"]))
+        at += r["n_tokens"]
+    tokenids.write(common.documents(table.limit(0)), P.path("byte_bpe_50k.json"), str(tmp_path / "empty"))
+    assert tokenids.digest(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_token_files(spark, tmp_path):
     texts = [*ODD, None]
     tokenids.write(common.documents(docs(spark, texts)), P.path("byte_bpe_50k.json"), str(tmp_path / "out"))
@@ -393,7 +430,24 @@ def test_tiles_do_not_overlap():
         item, doc = ([rng.randint(0, 3) for _ in range(rng.randint(4, 25))] for _ in "ab")
         a, b = np.array(item, np.uint64), np.array(doc, np.uint64)
         pairs = [(p, t) for p in range(len(a) - 3) for t in range(len(b) - 3) if (a[p : p + 4] == b[t : t + 4]).all()]
-        tiles = tiling.tile(a, b, pairs)
+        p, t = np.array(pairs, np.int64).reshape(-1, 2).T
+        tiles = tiling.tile(a, b, p, t)
+        # by the definition: the longest match of unmarked tokens again and again
+        free_a, free_b, want = [True] * len(a), [True] * len(b), []
+        while True:
+            best = (0,)
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                        n += 1
+                    best = max(best, (n, -i, -j))
+            if best[0] < 4:
+                break
+            n, i, j = best[0], -best[1], -best[2]
+            free_a[i : i + n], free_b[j : j + n] = [False] * n, [False] * n
+            want.append(n)
+        assert [n for _, _, n in tiles] == want
         used_a, used_b = [p + k for p, _, n in tiles for k in range(n)], [t + k for _, t, n in tiles for k in range(n)]
         assert len(used_a) == len(set(used_a)) and len(used_b) == len(set(used_b))
         assert all((a[p : p + n] == b[t : t + n]).all() and n >= 4 for p, t, n in tiles)
@@ -409,6 +463,14 @@ def test_short_items_and_scripts_without_spaces():
     assert index.match("two words, one two three four five", 0.5) == (1.0, [1, 4])
 
 
+def test_repeats_and_very_long_texts():
+    index = tiling.Index.build([(1, "a b c d " * 60), (None, "one two three four five"), (1, "six seven eight nine ten"), (-1, "one two three four five")])
+    assert index.match("a b c d " * 5000, 0.5) == (1.0, [1])
+    long = "x y z " * 60_000 + "six seven eight nine ten one two three four five"
+    assert index.match(long, 0.5) == (1.0, [-1, 1, None])
+    assert index.match("", 0.5) == (0.0, [])
+
+
 def test_reordered_passages(spark):
     item = "one two three four five six. seven eight nine ten eleven twelve."
     texts = ["x y " + item.upper(), "seven eight nine ten eleven twelve, then one two three four five six", "one two three four and others", None, ""]
