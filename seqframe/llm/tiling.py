@@ -18,7 +18,8 @@ blocks of at most BLOCK_BYTES of text; a larger benchmark adds blocks, not size.
 
 Cases: null and empty texts are clean, coverage 0; an item of fewer than MIN_TILE tokens
 matches as one exact run; equal items are both reported; equal lengths go to the earlier
-place in the item, then in the document; an empty benchmark leaves all clean.
+place in the item, then in the document; a null item_id is reported as null, after the others;
+an empty benchmark leaves all clean.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_worker, table
+from .common import own_name, per_worker, table
 
 MIN_TILE = 4
 COVERAGE = 0.5
@@ -76,15 +77,26 @@ def seeds(tok: np.ndarray, n: int = MIN_TILE) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def tile(item: np.ndarray, doc: np.ndarray, pairs: list[tuple[int, int]], least: int = MIN_TILE) -> list[tuple[int, int, int]]:
-    """Tiles (place in item, place in doc, length) from the seed pairs (place in item, place in doc)."""
-    queue, run = [], None
-    for d, p in sorted((t - p, p) for p, t in pairs if np.array_equal(item[p : p + least], doc[t : t + least])):
-        if run and run[0] == d and p <= run[2]:
-            run[2] = p + least
-        else:
-            run = [d, p, p + least]
-            queue.append(run)
+def runs(p: np.ndarray, t: np.ndarray, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
+    """Longest common runs (diagonal t - p, first place in the item, place after the last) of seed pairs, without a loop over the pairs."""
+    if not len(p):
+        return []
+    order = np.lexsort((p, t - p))
+    p, d = p[order], (t - p)[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (d[1:] != d[:-1]) | (p[1:] > p[:-1] + least)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(p)) - 1
+    return list(zip(d[first].tolist(), p[first].tolist(), (p[last] + least).tolist(), strict=True))
+
+
+def tile(item: np.ndarray, doc: np.ndarray, p: np.ndarray, t: np.ndarray, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
+    """Tiles (place in item, place in doc, length), longest first, from the places of the seeds in item and doc."""
+    # equal hashes of different tokens are no seeds
+    same = np.ones(len(p), bool)
+    for k in range(least):
+        same &= item[p + k] == doc[t + k]
+    queue = runs(p[same], t[same], least)
     queue = [(s - e, s, s + d) for d, s, e in queue]
     heapq.heapify(queue)
     in_item, in_doc = np.zeros(len(item), bool), set()
@@ -108,11 +120,16 @@ def tile(item: np.ndarray, doc: np.ndarray, pairs: list[tuple[int, int]], least:
     return out
 
 
+def _by_id(i: int | None) -> tuple[bool, int]:
+    """Ascending, a null id last."""
+    return i is None, i or 0
+
+
 @dataclass
 class Index:
     """Seed table of a block of items."""
 
-    ids: list[int]
+    ids: list[int | None]
     items: list[np.ndarray]
     hashes: np.ndarray  # ascending, distinct
     first: np.ndarray  # slice of ``where`` of each hash
@@ -134,7 +151,7 @@ class Index:
         hashes, first = np.unique(h[order], return_index=True)
         low = np.zeros(1 << 20, bool)
         low[(hashes & np.uint64(0xFFFFF)).astype(np.int64)] = True
-        return Index([int(i) for i, _ in rows], items, hashes, np.append(first, len(h)), where[order], low, short)
+        return Index([i for i, _ in rows], items, hashes, np.append(first, len(h)), where[order], low, short)
 
     def match(self, text: str, least: float) -> tuple[float, list[int]]:
         """Best coverage of any item, and the ids of those covered enough."""
@@ -144,27 +161,31 @@ class Index:
         whole = [i for n, own in self.short.items() for g in set(seeds(doc, n).tolist()) & own.keys() for i in own[g]]
         best, found = (1.0, [self.ids[i] for i in whole]) if whole else (0.0, [])
         if not len(at) or not len(self.hashes):
-            return best, sorted(found)
+            return best, sorted(found, key=_by_id)
         k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
         hit = self.hashes[k] == h[at]
-        pairs: dict[int, list[tuple[int, int]]] = {}
-        for t, j in zip(at[hit].tolist(), k[hit].tolist(), strict=True):
-            for i, p in self.where[self.first[j] : self.first[j + 1]].tolist():
-                pairs.setdefault(i, []).append((p, t))
-        for i, own in pairs.items():
+        # every place of each seed in the items, by item
+        j, t = k[hit], at[hit]
+        times = self.first[j + 1] - self.first[j]
+        spot = np.repeat(self.first[j] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        own, places, t = self.where[spot, 0], self.where[spot, 1], np.repeat(t, times)
+        order = np.argsort(own, kind="stable")
+        own, places, t = own[order], places[order], t[order]
+        each, starts = np.unique(own, return_index=True)
+        for i, lo, hi in zip(each.tolist(), starts.tolist(), [*starts[1:].tolist(), len(own)], strict=True):
             item = self.items[i]
             marked = np.zeros(len(item), bool)
-            for p in {p for p, _ in own}:
+            for p in np.unique(places[lo:hi]).tolist():
                 marked[p : p + MIN_TILE] = True
             # all seeds together cover no less than the tiles
             bound = marked.mean()
             if bound < least and bound <= best:
                 continue
-            cover = sum(n for _, _, n in tile(item, doc, own)) / len(item)
+            cover = sum(n for _, _, n in tile(item, doc, places[lo:hi], t[lo:hi])) / len(item)
             best = max(best, cover)
             if cover >= least:
                 found.append(self.ids[i])
-        return best, sorted(found)
+        return best, sorted(found, key=_by_id)
 
 
 _index = per_worker(lambda blob: Index.build(pickle.loads(blob)))
@@ -182,7 +203,7 @@ class Matcher:
         self.least = least
         self.blocks = [
             spark.sparkContext.broadcast(
-                pickle.dumps(sorted((r[0] if r[0] is not None else -1, r[1]) for r in rows.where(block == k).collect()))
+                pickle.dumps(sorted(((r[0], r[1]) for r in rows.where(block == k).collect()), key=lambda r: (_by_id(r[0]), r[1])))
             )
             for k in range(n)
         ]
@@ -210,9 +231,7 @@ class Matcher:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> DataFrame:
     """Rows of ``docs`` (all columns) that no benchmark item's tiles cover enough."""
-    name = "__tiles"
-    while name in docs.columns:
-        name += "_"
+    name = own_name(docs, "__tiles")
     got = docs.withColumn(name, Matcher(benchmark, least).column(F.col("text")))
     return got.where(F.size(F.col(name)["item_ids"]) == 0).drop(name)
 
