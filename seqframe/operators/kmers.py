@@ -19,6 +19,18 @@ def symbols(seqs: DataFrame) -> DataFrame:
     return kmers(seqs, 1).withColumnRenamed("kmer", "sym")
 
 
+def histogram(seqs: DataFrame) -> DataFrame:
+    """id, freq: 256 counts, how often each byte value comes in the UTF-8 text."""
+    # two hexadecimal digits a byte
+    each = lambda t: F.transform(F.sequence(F.lit(0), F.floor(t.length / 2).cast("int") - 1), lambda i: t.sub(2 * i + 1, 2))
+    pairs = S.read(each, F.hex(F.encode("seq", "UTF-8")))
+    rows = seqs.where(F.length("seq") > 0).select("id", F.explode(pairs).alias("h")).groupBy("id", "h").agg(F.count("*").alias("n"))
+    codes = F.conv("h", 16, 10).cast("int")
+    got = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(codes.alias("code"), "n"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0).cast("long")))
+    return seqs.select("id").join(got, "id", "left").select("id", dense.alias("freq"))
+
+
 def composition(seqs: DataFrame, k: int, fold: bool = False) -> DataFrame:
     """id, kmer, n."""
     return kmers(seqs, k, fold).groupBy("id", "kmer").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -108,10 +108,16 @@ def _random_at(codes, k, rng):
     return [int(rng.integers(len(c) - k + 1)) for c in codes]
 
 
+def draw(seed: int, key) -> Column:
+    """A whole number below 2**28 for each key, alike for equal seeds: the first seven digits of an MD5 digest."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long")
+
+
 def random_kmers(seqs: DataFrame, k: int, seed: int) -> DataFrame:
     """id, kmer: one window of each sequence, alike for equal seeds; null when it is shorter."""
     n = F.length("seq") - k + 1
-    at = F.pmod(F.xxhash64(F.lit(seed), "id"), F.when(n > 0, n)).cast("int")
+    at = F.pmod(draw(seed, "id"), F.when(n > 0, n)).cast("int")
     return seqs.select("id", F.substring(F.col("seq"), at + 1, F.lit(k)).alias("kmer"))
 
 
@@ -166,7 +172,7 @@ def weighted_choice(rows: DataFrame, seed: int) -> DataFrame:
     w = W.partitionBy("id").orderBy("item")
     run = F.sum("weight").over(w.rowsBetween(W.unboundedPreceding, 0))
     total = F.sum("weight").over(W.partitionBy("id"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / float(1 << 30)
-    return rows.withColumn("run", run).withColumn("total", total).where(F.col("run") > draw * F.col("total")).groupBy("id").agg(
+    share = draw(seed, "id") / float(1 << 28)
+    return rows.withColumn("run", run).withColumn("total", total).where(F.col("run") > share * F.col("total")).groupBy("id").agg(
         F.min_by("item", "run").alias("item")
     )

@@ -146,12 +146,22 @@ def gibbs_motifs(t):
     return motif.gibbs_motif_search(_short(t), 8, 50, 10, 1)
 
 
-@query()
+def _draw_sql(seed: int, key: str) -> str:
+    """The first seven hexadecimal digits of an MD5 digest as a number."""
+    h = f"md5('{seed}:' || {key})"
+    return "(" + " + ".join(f"(instr('0123456789abcdef', substr({h}, {i + 1}, 1)) - 1) * {16 ** (6 - i)}" for i in range(7)) + ")"
+
+
+@query(with_sql("mers") + f"SELECT id, substr(s, CAST({_draw_sql(1, 'id')} % (length(s) - 7) + 1 AS INT), 8) AS kmer FROM mers")
 def random_kmers(t):
     return motif.random_kmers(t.orders, 8, 1)
 
 
-@query()
+@query(
+    "WITH r AS (SELECT l_orderkey AS id, l_linenumber AS item, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS run,"
+    " sum(l_quantity) OVER (PARTITION BY l_orderkey) AS total FROM lineitem)"
+    f" SELECT id, arg_min(item, run) AS item FROM r WHERE run > {_draw_sql(1, 'id')} / 268435456.0::DOUBLE * total GROUP BY 1"
+)
 def weighted_choice(t):
     rows = t.read("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("item"), F.col("l_quantity").alias("weight"))
     return motif.weighted_choice(rows, 1)
@@ -296,13 +306,19 @@ def overlap_assembly(t):
     return assembly.overlap_assembly(t.nations.select("id", F.explode(at).alias("seq")))
 
 
-@query()
+@query(
+    "WITH n AS (SELECT n_nationkey AS id, n_nationkey % 7 + 2 AS a, n_nationkey % 5 + 11 AS b, n_nationkey % 3 + 23 AS c FROM nation),"
+    " d AS (SELECT id, list_sort([a, b, c, b - a, c - a, c - b]) AS d FROM n),"
+    " x AS (SELECT id, d, unnest(d) AS x FROM d), p AS (SELECT DISTINCT v.id, v.d, v.x, w.x AS y, v.d[6] AS z FROM x v JOIN x w ON v.id = w.id AND v.x < w.x)"
+    " SELECT id, [0::INT, x::INT, y::INT, z::INT] AS points FROM p WHERE list_sort([x, y, z, y - x, z - x, z - y]) = d"
+)
 def partial_digest(t):
     """Points of each nation: distances between four key-derived places."""
     k = F.col("n_nationkey")
     points = t.read("nation").select(k.alias("id"), F.explode(F.array(F.lit(0), k % 7 + 2, k % 5 + 11, k % 3 + 23)).alias("x"))
     d = points.alias("a").join(points.withColumnRenamed("x", "y").alias("b"), "id").where("x < y")
-    return assembly.partial_digest(d.groupBy("id", (F.col("y") - F.col("x")).alias("d")).agg(F.count("*").alias("n")))
+    found = assembly.partial_digest(d.groupBy("id", (F.col("y") - F.col("x")).alias("d")).agg(F.count("*").alias("n")))
+    return found.select("id", F.array_sort("points").alias("points"))
 
 
 @query("SELECT n_name AS id, 'region ' || n_regionkey AS descr, translate(md5(CAST(n_nationkey AS VARCHAR)), '0123456789abcdef', 'ACTGACTGACTGACTG') AS seq FROM nation")

@@ -226,6 +226,68 @@ def dna8_sort(t):
     return s.select("id", (F.row_number().over(W.orderBy(S.sort_key("seq"), "id")) - 1).cast("long").alias("ord"))
 
 
+_MIXED = "SELECT id, CASE WHEN id % 2 = 1 THEN lower(s) ELSE s END AS s FROM supp"
+
+
+def _mixed(t):
+    """The suppliers' sequences, every second one in small letters."""
+    return t.suppliers.withColumn("seq", F.when(F.col("id") % 2 == 1, F.lower("seq")).otherwise(F.col("seq")))
+
+
+@query(with_sql("dna", k=kmers_sql("dna", 4, True)) + "SELECT id, pos FROM k WHERE kmer = 'TATA'")
+def all_index_any_case(t):
+    return t.dna.select("id", F.explode(S.all_index("seq", "TaTa", fold=True).cast("array<bigint>")).alias("pos"))
+
+
+@query(with_sql("supp", x=_MIXED) + "SELECT a.id AS i, b.id AS j, CAST(hamming(upper(a.s), upper(b.s)) AS BIGINT) AS d FROM x a JOIN x b ON a.id < b.id")
+def hamming_any_case(t):
+    return distance.matrix(_mixed(t), lambda s, u: S.hamming(s, u, fold=True)).withColumn("d", F.col("d").cast("long"))
+
+
+@query(
+    with_sql("supp", x=_MIXED, k=kmers_sql("x", 6, True), d="SELECT *, hamming(kmer, 'TCATGA') AS d FROM k")
+    + "SELECT id, list(kmer ORDER BY pos) AS kmers FROM (SELECT *, min(d) OVER (PARTITION BY id) AS m FROM d) WHERE d = m GROUP BY 1"
+)
+def nearest_motif_any_case(t):
+    return _mixed(t).select("id", S.nearest_kmers("seq", "tcATGA", fold=True).alias("kmers"))
+
+
+@query(
+    with_sql("supp", x=_MIXED, k=kmers_sql("x", 3, True), c="SELECT id, kmer, count(*) AS n FROM k GROUP BY ALL", p="SELECT a.id AS i, b.id AS j FROM x a JOIN x b ON a.id < b.id")
+    + "SELECT i, j, CAST(sum(abs(x)) AS BIGINT) AS d FROM (SELECT i, j, kmer, sum(n) AS x FROM (SELECT i, j, kmer, n FROM p JOIN c ON id = i UNION ALL SELECT i, j, kmer, -n FROM p JOIN c ON id = j) GROUP BY ALL) GROUP BY ALL"
+)
+def kmer_distance_any_case(t):
+    return kmers.composition_distance(_mixed(t), 3, fold=True)
+
+
+@query(
+    with_sql("dna", k=kmers_sql("dna", 3), c="SELECT upper(kmer) AS codon, count(*) AS n FROM k GROUP BY 1", o="SELECT codon, n, translate(codon, 'ACTG', 'TGAC') AS opposite FROM c")
+    + f"SELECT codon, n, {_residue_sql('opposite', '1')} AS residue FROM o"
+)
+def opposite_codon_usage(t):
+    n = kmers.kmers(t.dna, 3, fold=True).groupBy(F.col("kmer").alias("codon")).agg(F.count("*").alias("n"))
+    return n.select("codon", "n", S.translate_codon(F.col("codon"), of_complement=True).alias("residue"))
+
+
+@query(
+    with_sql(
+        "dna",
+        k=kmers_sql("dna", 1),
+        n="SELECT id, ascii(kmer) AS code, count(*) AS n FROM k GROUP BY ALL",
+        g="SELECT d.id, code, coalesce(n, 0) AS n FROM dna d CROSS JOIN (SELECT unnest(range(0, 256)) AS code) LEFT JOIN n USING (id, code)",
+    )
+    + "SELECT id, list(n ORDER BY code) AS freq FROM g GROUP BY 1"
+)
+def byte_histogram(t):
+    return kmers.histogram(t.dna)
+
+
+@query(with_sql("supp", u="SELECT id, CASE WHEN id % 2 = 0 THEN replace(s, 'T', 'U') ELSE lower(s) END AS s FROM supp") + "SELECT id, " + ", ".join(f"CAST(length(s) - length(translate(s, '{x.upper()}{x}{'Uu' if x == 't' else ''}', '')) AS BIGINT) AS {x}" for x in "actg") + " FROM u")
+def base_freq_of_rna(t):
+    s = F.when(F.col("id") % 2 == 0, F.replace("seq", F.lit("T"), F.lit("U"))).otherwise(F.lower("seq"))
+    return t.suppliers.select("id", *[c.alias(b) for b, c in S.base_counts(s).items()])
+
+
 # ---- k-mers ---------------------------------------------------------------------
 
 
