@@ -164,6 +164,8 @@ class Index:
             return best, sorted(found, key=_by_id)
         k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
         hit = self.hashes[k] == h[at]
+        if not hit.any():
+            return best, sorted(found, key=_by_id)
         # every place of each seed in the items, by item
         j, t = k[hit], at[hit]
         times = self.first[j + 1] - self.first[j]
