@@ -12,7 +12,7 @@ model.  Pass another column for another tokenizer.
 
 Scale: the histogram has one cell for each aligned length, however many rows; the
 rows are numbered by block counts, so no task sees a bucket whole: blocks of
-BLOCK_ROWS rows on average, cut at quantiles of doc_id and salted by a hash.
+BLOCK_ROWS rows on average, cut at quantiles of doc_id; rows without a doc_id are cut by length.
 
 Cases: null and empty texts have length 1; null doc_ids sort first; rows that share a
 doc_id are numbered by length, then arbitrarily, and those that tie are alike in the result
@@ -92,14 +92,16 @@ def numbered(rows: DataFrame, key: str, total: int) -> DataFrame:
     block = F.lit(0)
     if cuts:
         block = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.coalesce(F.col("doc_id"), F.lit(cuts[0]))))
-    rows = rows.withColumn("block", block)
-    sizes = rows.groupBy(key, "block").agg(F.count("*").alias("rows"))
-    # at most n_blocks rows a key
-    before = F.coalesce(F.sum("rows").over(W.partitionBy(key).orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    firsts = sizes.select(key, "block", before.alias("before"))
-    own = F.row_number().over(W.partitionBy(key, "block").orderBy("doc_id", "n_tokens"))
-    placed = rows.withColumn("own", own).join(firsts, [key, "block"])
-    return placed.withColumn("row", F.col("before") + F.col("own") - 1).drop("own", "before", "block")
+    # rows without a doc_id come first, by length
+    part = F.when(F.col("doc_id").isNull(), F.col("n_tokens")).otherwise(F.lit((1 << 63) - 1))
+    rows = rows.withColumn("block", block).withColumn("part", part)
+    sizes = rows.groupBy(key, "block", "part").agg(F.count("*").alias("rows"))
+    # at most n_blocks rows a key, and one for each length of rows without a doc_id
+    before = F.coalesce(F.sum("rows").over(W.partitionBy(key).orderBy("block", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    firsts = sizes.select(key, "block", "part", before.alias("before"))
+    own = F.row_number().over(W.partitionBy(key, "block", "part").orderBy("doc_id", "n_tokens"))
+    placed = rows.withColumn("own", own).join(firsts, [key, "block", "part"])
+    return placed.withColumn("row", F.col("before") + F.col("own") - 1).drop("own", "before", "block", "part")
 
 
 def pack(

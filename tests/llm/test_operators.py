@@ -52,6 +52,18 @@ def test_pack(spark):
     assert packing.pack(rows.limit(0)).count() == 0
 
 
+def test_packing_rows_without_or_with_equal_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 10)
+    rows = [(None, "x" * (k % 7)) for k in range(60)] + [(k % 9, "y" * (k % 11)) for k in range(80)] + [(500, "z" * 9000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), n_buckets=3, budget=256).collect()
+    assert collections.Counter((r["doc_id"], r["n_tokens"]) for r in got) == collections.Counter((d, len(t) + 1) for d, t in rows)
+    for bucket in {r["bucket"] for r in got}:
+        own = sorted((r["batch"], r["slot"], r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["padded_to"]) for r in got if r["bucket"] == bucket)
+        room = max(1, 256 // own[0][5])
+        assert [x[:2] for x in own] == [(k // room, k % room) for k in range(len(own))]
+        assert [x[2:5] for x in own] == sorted(x[2:5] for x in own)
+
+
 # ---- 2 chat ---------------------------------------------------------------------
 
 
