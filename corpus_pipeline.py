@@ -9,10 +9,14 @@ language, so the second stage drops them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqframe.llm import jaccard, langid, packing, tiling, toxicity
-from seqframe.llm.common import documents, stage_table, table
+from seqframe.llm.common import own_name, stage_table, table
+
+#: Up to so many keys of rows (a long each) are shipped; more are joined by a shuffle.
+SHIP_KEYS = 2_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,14 +32,26 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest doc_id of each group of near copies: sets of five words, similarity 0.8 or more.
 
-    Rows without a doc_id stay; of rows that share one, one stays.
+    Rows are told apart by doc_id and text, so rows that share a doc_id, or have none, stay unless their
+    texts are near copies; of rows equal in both, the one that sorts first by all its columns stays.
     """
-    groups = stage_table(jaccard.join(documents(docs), 5, 80, 100).select("doc_id", "component_id"), "groups")
-    gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count():
-        with_id = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-        kept = with_id.unionByName(kept.where(F.col("doc_id").isNull()))
+    key = own_name(docs, "__row")
+    rows = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    groups = jaccard.join(rows.select(F.col(key).alias("doc_id"), "text"), 5, 80, 100)
+    groups = groups.select(F.col("doc_id").alias("row"), "component_id").distinct()
+    ids = rows.select(F.col(key).alias("row"), F.col("doc_id").alias("id")).distinct()
+    order = F.struct(F.col("id").isNull(), "id", "row")
+    first = groups.join(ids, "row").groupBy("component_id").agg(F.min(order)["row"].alias("first"))
+    gone = stage_table(groups.join(first, "component_id").where(F.col("row") != F.col("first")).select(F.col("row").alias(key)), "gone")
+    kept = rows.join(F.broadcast(gone) if gone.count() <= SHIP_KEYS else gone, key, "left_anti")
+    again = stage_table(rows.groupBy(key).count().where("count > 1").select(key), "again")
+    repeated = again.count()
+    if repeated:
+        # rows equal in doc_id and text: few, and only these meet
+        again = F.broadcast(again) if repeated <= SHIP_KEYS else again
+        place = F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(*docs.columns)))
+        one = kept.join(again, key, "left_semi").withColumn("__place", place).where("__place = 1").drop("__place")
+        kept = kept.join(again, key, "left_anti").unionByName(one)
     return kept.select(docs.columns)
 
 
