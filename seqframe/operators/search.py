@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from ..functions.suffix import Occurrences, codes, suffix_array
 
 
 def frames(seqs: DataFrame) -> DataFrame:
@@ -37,28 +40,58 @@ def open_reading_frames(seqs: DataFrame) -> DataFrame:
     return closed.select("id", F.explode(tails).alias("peptide")).distinct()
 
 
-def suffix_index(seqs: DataFrame, sentinel: str = "$") -> DataFrame:
-    """id, rank, sa, bwt: the suffix array and Burrows-Wheeler transform of each text; a sentinel is added where it is missing.
+def full_text_index(seqs: DataFrame, sentinel: str = "$") -> DataFrame:
+    """id, sa, bwt, symbols, firsts, places: the suffix array and transform of each text and where each symbol
+    stands in it; a sentinel is added where it is missing.  Build it once and search it often; a text is indexed in one task, in
+    memory in proportion to its length."""
+    kind = seqs.schema["id"].dataType.simpleString()
 
-    A text's suffixes are sorted in one group: meant for texts of up to some 10,000 symbols.
-    """
-    text = F.when(F.endswith(F.col("seq"), F.lit(sentinel)), F.col("seq")).otherwise(F.concat("seq", F.lit(sentinel)))
-    rows = seqs.select("id", text.alias("t"))
-    each = rows.select("id", "t", F.explode(S.starts("t", 1)).alias("i"))
-    suffix = F.substring(F.col("t"), F.col("i"), F.length("t"))
-    before = F.when(F.col("i") > 1, F.substring(F.col("t"), F.col("i") - 1, F.lit(1))).otherwise(F.lit(sentinel))
-    rank = F.row_number().over(W.partitionBy("id").orderBy(suffix)) - 1
-    return each.select("id", rank.alias("rank"), (F.col("i") - 1).alias("sa"), before.alias("bwt"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                text = b.column(1)[k].as_py()
+                text = text if text.endswith(sentinel) else text + sentinel
+                sa = suffix_array(codes(text))
+                bwt = "".join([text[i - 1] for i in sa.tolist()])
+                columns = [[sa], [bwt], *([x] for x in Occurrences.of(bwt))]
+                kinds = [pa.list_(pa.int32()), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
+                own = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), *own], ["id", "sa", "bwt", "symbols", "firsts", "places"])
 
+    shape = f"id {kind}, sa array<int>, bwt string, symbols string, firsts array<int>, places array<array<int>>"
+    return seqs.where(F.col("seq").isNotNull()).select("id", "seq").mapInArrow(run, shape)
 
-def index_search(seqs: DataFrame, pattern: str, sentinel: str = "$") -> DataFrame:
-    """id, pos, ord: occurrences in the order of their suffixes; symbols outside the text match nothing."""
+
+def suffix_index(seqs: DataFrame, sentinel: str = "$") -> DataFrame:
+    """id, rank, sa, bwt: a row for each suffix of each text, in order; a sentinel is added where it is missing."""
+    # the array and the transform run side by side
+    pairs = full_text_index(seqs, sentinel).select("id", F.posexplode(F.arrays_zip("sa", S.symbols("bwt").alias("bwt"))).alias("rank", "x"))
+    return pairs.select("id", "rank", "x.sa", "x.bwt")
+
+
+def search_index(index: DataFrame, pattern: str) -> DataFrame:
+    """id, pos, ord: occurrences in the order of their suffixes, by backward search over a ``full_text_index``; symbols
+    that the text does not hold match nothing."""
     if not pattern:
         raise ValueError("an empty pattern")
-    text = F.concat("seq", F.lit(sentinel))
-    hit = seqs.select("id", text.alias("t"), F.explode(S.all_index("seq", pattern)).alias("pos"))
-    order = F.row_number().over(W.partitionBy("id").orderBy(F.substring(F.col("t"), F.col("pos") + 1, F.length("t")))) - 1
-    return hit.select("id", "pos", order.alias("ord"))
+    kind = index.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                symbols, firsts = b.column(2)[k].as_py(), b.column(3)[k].as_py()
+                places = [x.values.to_numpy() for x in b.column(4)[k]]
+                sa = b.column(1)[k].values
+                low, high = Occurrences(symbols, firsts, places).range(pattern, len(sa))
+                ids = pa.array([b.column(0)[k].as_py()] * (high - low), b.schema.field(0).type)
+                yield pa.RecordBatch.from_arrays([ids, sa.slice(low, high - low), pa.array(range(high - low), pa.int32())], ["id", "pos", "ord"])
+
+    return index.select("id", "sa", "symbols", "firsts", "places").mapInArrow(run, f"id {kind}, pos int, ord int")
+
+
+def index_search(seqs: DataFrame, pattern: str, sentinel: str = "$") -> DataFrame:
+    """``search_index`` over an index built for the one search."""
+    return search_index(full_text_index(seqs, sentinel), pattern)
 
 
 def is_uniform(seqs: DataFrame) -> DataFrame:

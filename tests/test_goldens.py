@@ -266,6 +266,27 @@ def test_running_profile(spark, tmp_path):
     assert [(r["a"], r["c"], r["t"], r["g"]) for r in spark.table("profile").orderBy("pos").collect()] == [(2, 0, 0, 0), (0, 1, 1, 0), (0, 0, 0, 2)]
 
 
+def test_full_text_index(spark, seqs):
+    from seqframe.functions import suffix
+
+    rng = random.Random(9)
+    for _ in range(60):
+        text = "".join(rng.choices("abé日", k=rng.randint(0, 30))) + "$"
+        sa = suffix.suffix_array(suffix.codes(text)).tolist()
+        assert sa == sorted(range(len(text)), key=lambda i: text[i:])
+        bwt = "".join(text[i - 1] for i in sa)
+        find = suffix.Occurrences(*suffix.Occurrences.of(bwt))
+        for p in ("a", "ab", "é", "aa", "日b", "z", text[:3]):
+            low, high = find.range(p, len(text))
+            assert sorted(sa[low:high]) == [i for i in range(len(text)) if text.startswith(p, i)]
+    long = "ACGT" * 20_000 + "TTTT"
+    index = search.full_text_index(seqs("banana", "", long, None))
+    assert [(r["id"], r["pos"], r["ord"]) for r in search.search_index(index, "ana").orderBy("ord").collect()] == [(0, 3, 0), (0, 1, 1)]
+    assert [r["pos"] for r in search.search_index(index, "GTT").collect()] == [79_998]
+    assert search.index_search(seqs("banana"), "x").count() == 0
+    assert [(r["rank"], r["sa"], r["bwt"]) for r in search.suffix_index(seqs("aba")).orderBy("rank").collect()] == [(0, 3, "a"), (1, 2, "b"), (2, 0, "$"), (3, 1, "a")]
+
+
 def test_time_grows_with_the_length(spark):
     """Eight times the length takes less than twelve times the time: expressions do not walk to each place anew."""
     import time
