@@ -96,23 +96,20 @@ def quantize(masses, scale: float) -> Column:
     return F.transform(col(masses), lambda m: F.floor(m * scale + 0.5).cast("long"))
 
 
-def _times(xs: Column, v: Column) -> Column:
-    return F.size(F.filter(xs, lambda x: x == v))
+def _numbered(values: Column) -> Column:
+    """Whole numbers made distinct: each with its place among its equals, as one number."""
+    rank = lambda s: F.transform(s, lambda x, i: x.cast("long") * (1 << 24) + i - F.array_position(s, x))
+    return let(F.array_sort(values), rank)
 
 
 def common_count(a, b) -> Column:
-    """Size of the multiset intersection of two arrays."""
-
-    def count(v: Column) -> Column:
-        return F.aggregate(F.array_distinct(v["a"]), F.lit(0), lambda acc, x: acc + F.least(_times(v["a"], x), _times(v["b"], x)))
-
-    return let(F.struct(col(a).alias("a"), col(b).alias("b")), count)
+    """Size of the multiset intersection of two arrays of whole numbers."""
+    return F.size(F.array_intersect(_numbered(col(a)), _numbered(col(b))))
 
 
 def consistent(a, b) -> Column:
     """Every value of a is in b at least as often."""
-    every = lambda v: F.forall(F.array_distinct(v["a"]), lambda x: _times(v["a"], x) <= _times(v["b"], x))
-    return let(F.struct(col(a).alias("a"), col(b).alias("b")), every)
+    return F.size(F.array_except(_numbered(col(a)), _numbered(col(b)))) == 0
 
 
 def parse_floats(texts) -> Column:

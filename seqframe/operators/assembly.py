@@ -156,38 +156,24 @@ def _rings(arcs: DataFrame, begin, end) -> DataFrame:
         )
 
 
-def overlap_assembly(seqs: DataFrame, limit: int = 10_000) -> DataFrame:
+def overlap_assembly(seqs: DataFrame) -> DataFrame:
     """seq: fragments merged greedily by their longest overlaps of at least half the shorter one.
 
     Fragments with a column ``id`` are merged for each id apart, which is returned first.  A greedy merge
-    is one sequence of choices, so it runs in one task, for at most ``limit`` distinct
-    fragments; overlaps are compared whole, and equal fragments count once.  No rows when they do
-    not all join.
+    is one sequence of choices, so the fragments of an id are merged in one task; overlaps are compared whole, and
+    equal fragments count once.  No rows when they do not all join.
     """
     own = ["id"] if "id" in seqs.columns else []
-    if seqs.select(*own, "seq").distinct().groupBy(*own).count().where(F.col("count") > limit).limit(1).count():
-        raise ValueError(f"more than {limit} fragments")
 
     def run(table):
         import pandas as pd
 
-        parts = sorted(set(table["seq"]))
-        while len(parts) > 1:
-            best = (0, "", "")
-            for s in parts:
-                for t in parts:
-                    if s == t:
-                        continue
-                    for n in range(min(len(s), len(t)), max((min(len(s), len(t)) + 1) // 2, best[0] + 1) - 1, -1):
-                        if n and s.endswith(t[:n]):
-                            if n > best[0]:
-                                best = (n, s, t)
-                            break
-            n, s, t = best
-            if not n:
-                return pd.DataFrame({k: pd.Series([], dtype=table[k].dtype) for k in [*own, "seq"]})
-            parts = sorted({p for p in parts if p not in (s, t)} | {s + t[n:]})
-        return pd.DataFrame({**{k: table[k].iloc[:1].tolist() for k in own}, "seq": parts})
+        from ..functions.overlaps import merged
+
+        whole = merged(sorted(set(table["seq"])))
+        if whole is None:
+            return pd.DataFrame({k: pd.Series([], dtype=table[k].dtype) for k in [*own, "seq"]})
+        return pd.DataFrame({**{k: table[k].iloc[:1].tolist() for k in own}, "seq": [whole]})
 
     kind = "".join(f"id {seqs.schema[k].dataType.simpleString()}, " for k in own)
     return seqs.select(*own, "seq").groupBy(*(own or [F.lit(1).alias("g")])).applyInPandas(run, f"{kind}seq string")

@@ -13,15 +13,10 @@ from .tables import kmers_sql, query, with_sql
 # ---- peptides and masses --------------------------------------------------------
 
 _MASSES = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {INTEGER_MASS[a]}, {MONO_MASS[a]}::DOUBLE)" for a in AMINO) + ") AS v(aa, im, mm)"
-_EIGHT = "SELECT id, substr(s, 1, 8) AS s FROM pep"
 _RES = "SELECT id, pos, im, mm FROM k JOIN mass ON kmer = aa"
-_PEP = with_sql("pep", p8=_EIGHT, k=kmers_sql("p8", 1), mass=_MASSES, r=_RES)
+_PEP = with_sql("pep", k=kmers_sql("pep", 1), mass=_MASSES, r=_RES)
 #: Prefix sums from 0 with their places.
-_PRE = "SELECT id, 0 AS i, 0::BIGINT AS x FROM p8 UNION ALL SELECT id, pos + 1, CAST(sum(im) OVER (PARTITION BY id ORDER BY pos) AS BIGINT) FROM r"
-
-
-def _eight(t):
-    return t.peptides.select("id", F.substring("seq", 1, 8).alias("seq"))
+_PRE = "SELECT id, 0 AS i, 0::BIGINT AS x FROM pep UNION ALL SELECT id, pos + 1, CAST(sum(im) OVER (PARTITION BY id ORDER BY pos) AS BIGINT) FROM r"
 
 
 def _long(c):
@@ -31,18 +26,18 @@ def _long(c):
 @query(_PEP + "SELECT id, list(im::BIGINT ORDER BY pos) AS masses, string_agg(CAST(im AS VARCHAR), '-' ORDER BY pos) AS text FROM r GROUP BY 1")
 def integer_masses(t):
     m = P.integer_masses("seq")
-    return _eight(t).select("id", _long(m).alias("masses"), P.mass_string(m).alias("text"))
+    return t.peptides.select("id", _long(m).alias("masses"), P.mass_string(m).alias("text"))
 
 
 @query(_PEP + f"SELECT id, round(sum(mm) + {WATER_MONO}, 5) AS weight FROM r GROUP BY 1")
 def peptide_weight(t):
-    return _eight(t).select("id", F.round(P.weight("seq"), 5).alias("weight"))
+    return t.peptides.select("id", F.round(P.weight("seq"), 5).alias("weight"))
 
 
-@query(_PEP + "SELECT id, list(round(x, 5) ORDER BY i) AS masses FROM (SELECT id, -1 AS i, 0::DOUBLE AS x FROM p8 UNION ALL SELECT id, pos, sum(mm) OVER (PARTITION BY id ORDER BY pos) FROM r) GROUP BY 1")
+@query(_PEP + "SELECT id, list(round(x, 5) ORDER BY i) AS masses FROM (SELECT id, -1 AS i, 0::DOUBLE AS x FROM pep UNION ALL SELECT id, pos, sum(mm) OVER (PARTITION BY id ORDER BY pos) FROM r) GROUP BY 1")
 def mono_prefix_spectrum(t):
     x = P.prefix_sums(P.mono_masses("seq"), "double")
-    return _eight(t).select("id", F.transform(x, lambda v: F.round(v, 5)).alias("masses"))
+    return t.peptides.select("id", F.transform(x, lambda v: F.round(v, 5)).alias("masses"))
 
 
 _SYMBOL = "SELECT * FROM (VALUES " + ", ".join(f"({m}, '{a}')" for m, a in MASS_SYMBOL.items()) + ") AS v(m, aa)"
@@ -58,37 +53,37 @@ def masses_to_peptide(t):
     return m.select("id", P.from_masses("masses").alias("p")).select("id", "p.peptide", "p.ok")
 
 
-@query(with_sql("pep", p8=_EIGHT, k=kmers_sql("p8", 1), mass=_MASSES, r=_RES, pre=_PRE) + "SELECT id, list(x ORDER BY i) AS masses FROM pre WHERE i > 0 GROUP BY 1")
+@query(with_sql("pep", k=kmers_sql("pep", 1), mass=_MASSES, r=_RES, pre=_PRE) + "SELECT id, list(x ORDER BY i) AS masses FROM pre WHERE i > 0 GROUP BY 1")
 def prefix_spectrum(t):
-    return _eight(t).select("id", _long(P.prefix_spectrum(P.integer_masses("seq"))).alias("masses"))
+    return t.peptides.select("id", _long(P.prefix_spectrum(P.integer_masses("seq"))).alias("masses"))
 
 
-_WITHPRE = with_sql("pep", p8=_EIGHT, k=kmers_sql("p8", 1), mass=_MASSES, r=_RES, pre=_PRE)
+_WITHPRE = with_sql("pep", k=kmers_sql("pep", 1), mass=_MASSES, r=_RES, pre=_PRE)
 
 
-@query(_WITHPRE + "SELECT id, list(x ORDER BY x) AS masses FROM (SELECT id, unnest([x, w - x]) AS x FROM (SELECT *, max(x) OVER (PARTITION BY id) AS w FROM pre) WHERE i < 8) GROUP BY 1")
+@query(_WITHPRE + "SELECT id, list(x ORDER BY x) AS masses FROM (SELECT id, unnest([x, w - x]) AS x FROM (SELECT *, max(x) OVER (PARTITION BY id) AS w FROM pre) WHERE i < 32) GROUP BY 1")
 def ideal_spectrum(t):
-    return _eight(t).select("id", _long(P.ideal_spectrum(P.integer_masses("seq"))).alias("masses"))
+    return t.peptides.select("id", _long(P.ideal_spectrum(P.integer_masses("seq"))).alias("masses"))
 
 
-_LINEAR = "SELECT id, 0::BIGINT AS x FROM p8 UNION ALL SELECT a.id, b.x - a.x FROM pre a JOIN pre b ON a.id = b.id AND a.i < b.i"
+_LINEAR = "SELECT id, 0::BIGINT AS x FROM pep UNION ALL SELECT a.id, b.x - a.x FROM pre a JOIN pre b ON a.id = b.id AND a.i < b.i"
 
 
 @query(_WITHPRE + f"SELECT id, list(x ORDER BY x) AS masses FROM ({_LINEAR}) GROUP BY 1")
 def linear_spectrum(t):
-    return _eight(t).select("id", _long(P.linear_spectrum(P.integer_masses("seq"))).alias("masses"))
+    return t.peptides.select("id", _long(P.linear_spectrum(P.integer_masses("seq"))).alias("masses"))
 
 
 _CYCLIC = (
-    "SELECT id, 0::BIGINT AS x FROM p8 UNION ALL SELECT id, max(x) FROM pre GROUP BY 1"
-    " UNION ALL SELECT a.id, b.x - a.x FROM pre a JOIN pre b ON a.id = b.id AND a.i < b.i AND b.i - a.i < 8 AND a.i < 8"
-    " UNION ALL SELECT a.id, w - (b.x - a.x) FROM (SELECT *, max(x) OVER (PARTITION BY id) AS w FROM pre) a JOIN pre b ON a.id = b.id AND a.i < b.i AND a.i > 0 AND b.i < 8"
+    "SELECT id, 0::BIGINT AS x FROM pep UNION ALL SELECT id, max(x) FROM pre GROUP BY 1"
+    " UNION ALL SELECT a.id, b.x - a.x FROM pre a JOIN pre b ON a.id = b.id AND a.i < b.i AND b.i - a.i < 32 AND a.i < 32"
+    " UNION ALL SELECT a.id, w - (b.x - a.x) FROM (SELECT *, max(x) OVER (PARTITION BY id) AS w FROM pre) a JOIN pre b ON a.id = b.id AND a.i < b.i AND a.i > 0 AND b.i < 32"
 )
 
 
 @query(_WITHPRE + f"SELECT id, list(x ORDER BY x) AS masses FROM ({_CYCLIC}) GROUP BY 1")
 def cyclic_spectrum(t):
-    return _eight(t).select("id", _long(P.cyclic_spectrum(P.integer_masses("seq"))).alias("masses"))
+    return t.peptides.select("id", _long(P.cyclic_spectrum(P.integer_masses("seq"))).alias("masses"))
 
 
 @query("SELECT p_partkey AS id, CAST(k * (k + 1) // 2 + 1 AS BIGINT) AS linear, CAST(k * (k - 1) AS BIGINT) AS cyclic FROM (SELECT p_partkey, p_size::BIGINT AS k FROM part)")
@@ -98,12 +93,12 @@ def sub_peptide_counts(t):
 
 
 @query(
-    with_sql("pep", p8=_EIGHT, k=kmers_sql("p8", 1), mass=_MASSES, r=_RES, pre=_PRE, l=_LINEAR, c=_CYCLIC)
+    with_sql("pep", k=kmers_sql("pep", 1), mass=_MASSES, r=_RES, pre=_PRE, l=_LINEAR, c=_CYCLIC)
     + f"SELECT id, CAST(sum(n) AS BIGINT) AS n, true AS consistent FROM (SELECT id, a.x AS v, least(a.n, b.n) AS n FROM (SELECT id, x, count(*) AS n FROM l GROUP BY ALL) a JOIN (SELECT id, x, count(*) AS n FROM c GROUP BY ALL) b USING (id, x)) GROUP BY 1"
 )
 def common_counts(t):
     m = P.integer_masses("seq")
-    rows = _eight(t).select("id", P.linear_spectrum(m).alias("l"), P.cyclic_spectrum(m).alias("c"))
+    rows = t.peptides.select("id", P.linear_spectrum(m).alias("l"), P.cyclic_spectrum(m).alias("c"))
     return rows.select("id", P.common_count("l", "c").cast("long").alias("n"), P.consistent("l", "c").alias("consistent"))
 
 
@@ -346,6 +341,28 @@ def max_parsimony_unrooted(t):
     return tree.max_parsimony_unrooted(*_unrooted(t))
 
 
+_LEAVES = "SELECT n_regionkey AS tree_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k, s FROM nat JOIN nation ON id = n_nationkey"
+_SITES = "SELECT tree_id, k, i, substr(s, i, 1) AS b FROM (SELECT *, unnest(range(1, 33)::INT[]) AS i FROM l)"
+_FIRST = "SELECT p.tree_id, p.i, q.k, " + ", ".join(f"(p.b <> '{b}')::INT + (q.b <> '{b}')::INT AS {b}" for b in "ACTG") + " FROM x p JOIN x q ON p.tree_id = q.tree_id AND p.i = q.i AND p.k = 1 AND q.k = 2"
+_NEXT = "SELECT x.tree_id, x.i, x.k, " + ", ".join(f"least({b}, least(A, C, T, G) + 1) + (x.b <> '{b}')::INT" for b in "ACTG") + " FROM r JOIN x ON x.tree_id = r.tree_id AND x.i = r.i AND x.k = r.k + 1"
+#: Least changes of the caterpillar of each region's nations, leaf by leaf: a cost for each base at the inner node.
+_CHANGES = with_sql("nat", l=_LEAVES, x=_SITES, r=f"{_FIRST} UNION ALL {_NEXT}") + (
+    "SELECT tree_id, CAST(sum(least(A, C, T, G)) AS BIGINT) AS cost FROM r WHERE (tree_id, k) IN (SELECT tree_id, max(k) FROM x GROUP BY 1) GROUP BY 1"
+)
+
+
+@query(_CHANGES)
+def parsimony_cost(t):
+    tips, inner = _pairing(t)
+    return tree.max_parsimony(tips.unionByName(inner)).groupBy("tree_id").agg(F.sum("cost").cast("long").alias("cost"))
+
+
+@query(_CHANGES)
+def parsimony_cost_unrooted(t):
+    """The place of the root does not change the least number of changes."""
+    return tree.max_parsimony_unrooted(*_unrooted(t)).groupBy("tree_id").agg(F.sum("cost").cast("long").alias("cost"))
+
+
 @query()
 def parsimony_search(t):
     return tree.max_parsimony_unrooted(*_unrooted(t), improve=True)

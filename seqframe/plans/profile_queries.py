@@ -199,10 +199,15 @@ def constant_gap(t):
     return _aligned(t).select("id", S.constant_gap("s", "t", S.matrix_score(BLOSUM62), 5).cast("long").alias("score"))
 
 
-@query(with_sql("pep", m=_MATRIX) + "SELECT id, CAST(score AS BIGINT) AS score FROM pep JOIN m ON substr(s, 1, 1) || substr(s, 2, 1) = ab")
+@query(
+    with_sql("pep", m=_MATRIX, n="SELECT id, s, unnest(range(1, 32)::INT[]) AS i FROM pep")
+    + "SELECT id, i - 1 AS pos, CAST(score AS BIGINT) AS score FROM n JOIN m ON substr(s, i, 1) || substr(s, i + 1, 1) = ab"
+)
 def substitution_score(t):
-    score = S.matrix_score(BLOSUM62)(F.substring("seq", 1, 1), F.substring("seq", 2, 1))
-    return t.peptides.select("id", score.cast("long").alias("score"))
+    """The score of each residue against the one after it."""
+    score = S.matrix_score(BLOSUM62)
+    each = S.read(lambda x: F.transform(x.starts(2), lambda i: F.struct((i - 1).alias("pos"), score(x.at(i), x.at(i + 1)).cast("long").alias("score"))), "seq")
+    return t.peptides.select("id", F.inline(each))
 
 
 def _neighbours(t, seqs):

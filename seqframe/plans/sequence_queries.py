@@ -393,10 +393,14 @@ def fasta_headers(t):
 _VARIANTS = "SELECT DISTINCT id, substr(kmer, 1, CAST(i - 1 AS INT)) || b || substr(kmer, CAST(i + 1 AS INT)) AS v FROM (SELECT id, kmer, unnest(range(1, length(kmer) + 1)) AS i FROM k) CROSS JOIN (SELECT unnest(['A', 'C', 'T', 'G']) AS b)"
 
 
-@query(with_sql("nat", k="SELECT id, substr(s, 1, 10) AS kmer FROM nat", v=_VARIANTS) + "SELECT id, v AS kmer FROM v")
+@query(with_sql("nat", k="SELECT id, s AS kmer FROM nat", v=_VARIANTS) + "SELECT id, v AS kmer FROM v")
 def hamming_variants(t):
-    s = t.nations.select("id", F.substring("seq", 1, 10).alias("seq"))
-    return s.select("id", F.explode(neighbours.variants("seq", 1)).alias("kmer"))
+    return t.nations.select("id", F.explode(neighbours.variants("seq", 1)).alias("kmer"))
+
+
+@query(with_sql("nat", k="SELECT id, s AS kmer FROM nat", v=_VARIANTS, w=_VARIANTS.replace("FROM k)", "FROM (SELECT id, v AS kmer FROM v))")) + "SELECT id, v AS kmer FROM w")
+def hamming_variants_two(t):
+    return t.nations.select("id", F.explode(neighbours.variants("seq", 2)).alias("kmer"))
 
 
 @query(

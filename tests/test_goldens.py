@@ -266,6 +266,30 @@ def test_running_profile(spark, tmp_path):
     assert [(r["a"], r["c"], r["t"], r["g"]) for r in spark.table("profile").orderBy("pos").collect()] == [(2, 0, 0, 0), (0, 1, 1, 0), (0, 0, 0, 2)]
 
 
+def test_overlaps_by_the_definition():
+    from seqframe.functions.overlaps import merged
+
+    def brute(parts):
+        while len(parts) > 1:
+            best = (0, "", "")
+            for s in parts:
+                for t in parts:
+                    fits = [n for n in range(1, min(len(s), len(t)) + 1) if s != t and s.endswith(t[:n]) and 2 * n >= min(len(s), len(t))]
+                    if fits and fits[-1] > best[0]:
+                        best = (fits[-1], s, t)
+            n, s, t = best
+            if not n:
+                return None
+            parts = sorted({p for p in parts if p not in (s, t)} | {s + t[n:]})
+        return parts[0] if parts else None
+
+    rng = random.Random(11)
+    for _ in range(300):
+        text = "".join(rng.choices("ACGT", k=rng.randint(1, 40)))
+        parts = sorted({text[i : i + rng.randint(3, 9)] for i in range(0, len(text), rng.randint(1, 3))})
+        assert merged(parts) == brute(parts)
+
+
 def test_full_text_index(spark, seqs):
     from seqframe.functions import suffix
 
