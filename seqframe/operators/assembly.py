@@ -108,17 +108,7 @@ def _paths(edges: DataFrame, begin, end) -> DataFrame:
     inner = stage(edges.join(head, "src", "left_semi").select("src", "dst"))
     reached = _reached(start, inner, simple).withColumnRenamed("node", "src")
     last = end(F.col("dst"))
-    chain = stage(inner.join(reached, "src", "left_semi").select(F.col("src").alias("head"), F.col("dst").alias("tail"), last.alias("text")))
-    while True:
-        after = chain.select(F.col("head").alias("tail"), F.col("tail").alias("t2"), F.col("text").alias("x2"))
-        new = stage(
-            chain.join(after, "tail", "left").select(
-                "head", F.coalesce("t2", "tail").alias("tail"), F.concat("text", F.coalesce("x2", F.lit(""))).alias("text"), F.col("t2").isNotNull().alias("moved")
-            )
-        )
-        chain = new.drop("moved")
-        if not new.where("moved").limit(1).count():
-            break
+    chain = _chains(inner.join(reached, "src", "left_semi"), end)
     paths = start.join(chain.select(F.col("head").alias("dst"), "text"), "dst", "left").select(
         F.concat(begin(F.col("src")), last, F.coalesce("text", F.lit(""))).alias("seq"), "n"
     )
@@ -140,20 +130,39 @@ def _reached(start: DataFrame, inner: DataFrame, simple: DataFrame) -> DataFrame
         jump = stage(x.join(y, "m").select("src", "dst"))
 
 
-def _rings(arcs: DataFrame, begin, end) -> DataFrame:
-    """seq, n: isolated cycles, walked arc by arc; only the walk from a ring's smallest node goes on."""
-    loop = stage(arcs)
-    walk = loop.select(F.col("src").alias("head"), F.col("dst").alias("at"), F.concat(begin(F.col("src")), end(F.col("dst"))).alias("seq"))
-    done = loop.select(F.col("src").alias("seq"), F.lit(1).cast("long").alias("n")).limit(0)
+def _chains(arcs: DataFrame, end) -> DataFrame:
+    """head, tail, text: from each node to the end of its chain of arcs, with what each step adds."""
+    chain = stage(arcs.select(F.col("src").alias("head"), F.col("dst").alias("tail"), end(F.col("dst")).alias("text")))
     while True:
-        walk = stage(walk.where("at >= head"))
-        done = done.unionByName(walk.where("at = head").select("seq", F.lit(1).cast("long").alias("n")))
-        open_ = walk.where("at > head")
-        if not open_.limit(1).count():
-            return done
-        walk = open_.join(loop, F.col("at") == F.col("src")).select(
-            "head", F.col("dst").alias("at"), F.concat("seq", end(F.col("dst"))).alias("seq")
+        after = chain.select(F.col("head").alias("tail"), F.col("tail").alias("t2"), F.col("text").alias("x2"))
+        new = stage(
+            chain.join(after, "tail", "left").select(
+                "head", F.coalesce("t2", "tail").alias("tail"), F.concat("text", F.coalesce("x2", F.lit(""))).alias("text"), F.col("t2").isNotNull().alias("moved")
+            )
         )
+        chain = new.drop("moved")
+        if not new.where("moved").limit(1).count():
+            return chain
+
+
+def _rings(arcs: DataFrame, begin, end) -> DataFrame:
+    """seq, n: isolated cycles, cut at their smallest nodes.
+
+    After round r each node knows the least of the 2**r nodes after it; once no round lowers any, all know their ring's.
+    """
+    loop = stage(arcs.select("src", "dst"))
+    jump = loop.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.least("src", "dst").alias("least"))
+    while True:
+        ahead = jump.select(F.col("node").alias("to"), F.col("to").alias("t2"), F.col("least").alias("l2"))
+        new = stage(jump.join(ahead, "to").select("node", F.col("t2").alias("to"), F.least("least", "l2").alias("least"), (F.col("l2") < F.col("least")).alias("moved")))
+        jump = new.drop("moved")
+        if not new.where("moved").limit(1).count():
+            break
+    cuts = jump.where("node = least").select(F.col("node").alias("src"))
+    first = loop.join(cuts, "src", "left_semi")
+    chain = _chains(loop.join(cuts, "src", "left_anti"), end).select(F.col("head").alias("dst"), "text")
+    whole = F.concat(begin(F.col("src")), end(F.col("dst")), F.coalesce("text", F.lit("")))
+    return first.join(chain, "dst", "left").select(whole.alias("seq"), F.lit(1).cast("long").alias("n"))
 
 
 def overlap_assembly(seqs: DataFrame) -> DataFrame:

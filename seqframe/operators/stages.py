@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -27,3 +29,16 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/seqframe/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, *keys: str, name: str = "ord") -> DataFrame:
+    """Adds each row's place (from 0) in the order of the keys: ranges are sorted apart, and counts of whole ranges added."""
+    at, part = "__at", "__part"
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id())
+    ordered = stage(ordered).withColumn(part, F.shiftright(at, 33))
+    # a row for each range
+    sizes = ordered.groupBy(part).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = sizes.select(part, before.alias("before"))
+    place = F.col("before") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.join(F.broadcast(first), part).withColumn(name, place).drop(at, part, "before")

@@ -218,12 +218,12 @@ def uniform(t):
 
 @query(with_sql("supp") + "SELECT id, row_number() OVER (ORDER BY length(x), translate(x, 'aAcCtTgG', '01234567'), id) - 1 AS ord FROM (SELECT id, substr(lower(s), 1, CAST(id % 3 + 2 AS INT)) || substr(s, 9, 3) AS x FROM supp)")
 def dna8_sort(t):
-    from pyspark.sql import Window as W
+    from ..operators.stages import numbered
 
     x = F.concat(F.substring(S.to_lower("seq"), F.lit(1), (F.col("id") % 3 + 2).cast("int")), F.substring("seq", 9, 3))
-    s = t.suppliers.select("id", x.alias("seq"))
-    # the place in the whole order is the result
-    return s.select("id", (F.row_number().over(W.orderBy(S.sort_key("seq"), "id")) - 1).cast("long").alias("ord"))
+    key = S.sort_key("seq")
+    rows = t.suppliers.select("id", x.alias("seq")).select("id", key["n"].alias("n"), key["s"].alias("s"))
+    return numbered(rows, "n", "s", "id").select("id", "ord")
 
 
 _MIXED = "SELECT id, CASE WHEN id % 2 = 1 THEN lower(s) ELSE s END AS s FROM supp"

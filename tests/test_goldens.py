@@ -266,6 +266,17 @@ def test_running_profile(spark, tmp_path):
     assert [(r["a"], r["c"], r["t"], r["g"]) for r in spark.table("profile").orderBy("pos").collect()] == [(2, 0, 0, 0), (0, 1, 1, 0), (0, 0, 0, 2)]
 
 
+def test_isolated_rings(spark):
+    rng = random.Random(12)
+    ring = "".join(rng.choices("ACGT", k=60))
+    kmers_ = {(ring + ring)[i : i + 6] for i in range(60)} | {"TTTTTT"} | {"GGCCAA"[:6]}
+    got = [(r["seq"], r["n"]) for r in assembly.contigs(spark.createDataFrame([(k,) for k in kmers_], "kmer string")).collect()]
+    least = min((ring + ring)[i : i + 5] for i in range(60))
+    at = (ring + ring).index(least)
+    if len({(ring + ring)[i : i + 5] for i in range(60)}) == 60:
+        assert sorted(got) == sorted([((ring + ring)[at : at + 60] + least, 1), ("TTTTTT", 1), ("GGCCAA", 1)])
+
+
 def test_overlaps_by_the_definition():
     from seqframe.functions.overlaps import merged
 
