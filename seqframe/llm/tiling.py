@@ -31,11 +31,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import own_name, per_worker, table
+from .words import word_hashes
 
 MIN_TILE = 4
 COVERAGE = 0.5
@@ -45,25 +45,12 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Everything in ASCII but letters and digits separates tokens.
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
-_MEMO = 1_000_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MEMO:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
-_hashes = _Hashes()
 
 
 def tokens(text: str) -> np.ndarray:
     if not text.isascii():
         text = _UNSPACED.sub(r" \g<0> ", text)
-    words = text.lower().encode("utf-8", "surrogatepass").translate(_SPACED).split()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return word_hashes(text.lower().encode("utf-8", "surrogatepass").translate(_SPACED))
 
 
 def seeds(tok: np.ndarray, n: int = MIN_TILE) -> np.ndarray:
