@@ -65,7 +65,9 @@ HARD_WORDS = 1000
 WINDOW = 24
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _SPELLED = re.compile(rb"(?<![^\s])(?:[^\s] ){2,}[^\s](?![^\s])")
-_CHUNK = 1 << 22
+#: Bytes of text whose words are scored together, and words in one block of it.
+_CHUNK = 1 << 20
+BLOCK_WORDS = 4096
 _CLASS = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else b - 21 if 48 <= b <= 57 else 37 + b % 27 if b > 127 else 0 for b in range(256)], np.uint8)
 
 
@@ -137,8 +139,19 @@ def _group(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     return groups, np.concatenate(order) if order else np.zeros(0, np.int64)
 
 
+def _in_blocks(work, cols: np.ndarray) -> np.ndarray:
+    """``work`` over BLOCK_WORDS words at a time, so that its arrays stay small."""
+    parts = [work(cols[:, k : k + BLOCK_WORDS]) for k in range(0, max(1, cols.shape[1]), BLOCK_WORDS)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def own_kernel(cols: np.ndarray) -> np.ndarray:
-    """K(w, w) of words of one length: pairs of places of equal symbols, then pairs that continue them."""
+    """K(w, w) of words of one length."""
+    return _in_blocks(_own_kernel, cols)
+
+
+def _own_kernel(cols: np.ndarray) -> np.ndarray:
+    """Pairs of places of equal symbols, then pairs that continue them."""
     n, size = cols.shape
     zero = np.zeros(size, np.float32)
     step, total = np.float32(DECAY), np.zeros(size, np.float32)
@@ -163,6 +176,10 @@ def own_kernel(cols: np.ndarray) -> np.ndarray:
 
 def sums(cols: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """For words of one length the sum of the weights of their subsequences, each times DECAY to its span."""
+    return _in_blocks(lambda some: _sums(some, weights), cols)
+
+
+def _sums(cols: np.ndarray, weights: np.ndarray) -> np.ndarray:
     n, size = cols.shape
     out = np.zeros((size, *weights.shape[1:]), np.float32)
     for i, j in itertools.combinations(range(n), 2):
@@ -293,35 +310,35 @@ def families(bags: list[set[int]], rows: int = 8, alike: float = 0.5) -> list[in
     return kept
 
 
-def choose_landmarks(toxic: list[set[int]], clean: list[set[int]], least: int = SUPPORT) -> tuple[list[int], list[int]]:
-    """Numbers of words: a greedy cover of the toxic texts, and words of clean texts in an order that a hash gives."""
+def choose_landmarks(toxic: list[set[int]], in_clean: np.ndarray, n_clean: int, least: int = SUPPORT) -> tuple[list[int], list[int]]:
+    """Numbers of words: a greedy cover of the toxic texts, and words of clean texts in an order that a hash gives.
+
+    ``in_clean``: how many of the ``n_clean`` clean texts hold each word.
+    """
     holders: dict[int, set[int]] = {}
     for i, words in enumerate(toxic):
         for w in words:
             holders.setdefault(w, set()).add(i)
-    cost: dict[int, int] = {}
-    for words in clean:
-        for w in words:
-            if w in holders:
-                cost[w] = cost.get(w, 0) + 1
     # a clean text that holds a word takes away as much as three toxic ones of its share add
-    price = 3 * len(toxic) / max(1, len(clean))
-    gain = {w: len(h) for w, h in holders.items() if len(h) >= least and len(h) > price * cost.get(w, 0)}
+    price = 3 * len(toxic) / max(1, n_clean)
+    cost = {w: price * int(in_clean[w]) for w in holders}
+    gain = {w: len(h) for w, h in holders.items() if len(h) >= least and len(h) > cost[w]}
     out: list[int] = []
     while gain and len(out) < MAX_LANDMARKS:
-        best = max(gain, key=lambda w: (gain[w] - price * cost.get(w, 0), len(holders[w]), -w))
-        if gain[best] - price * cost.get(best, 0) <= 0:
+        best = max(gain, key=lambda w: (gain[w] - cost[w], len(holders[w]), -w))
+        if gain[best] <= cost[best]:
             break
         out.append(best)
         touched = set()
         for i in holders[best]:
-            touched.update(w for w in toxic[i] if w in gain)
+            touched.update(w for w in toxic[i] if w in gain and w != best)
         for w in touched:
-            holders[w] = holders[w] - holders[best] if w != best else holders[w]
+            holders[w] = holders[w] - holders[best]
             gain[w] = len(holders[w])
         gain = {w: g for w, g in gain.items() if g >= least and w != best}
-    every = sorted({w for words in clean for w in words}, key=lambda w: (w * 0x9E3779B1 & 0xFFFFFFFF, w))
-    return out, [w for w in every if w not in set(out)][:CLEAN_LANDMARKS]
+    every = np.setdiff1d(np.flatnonzero(in_clean), np.array(out, np.int64))
+    order = np.argsort(every * 0x9E3779B1 & 0xFFFFFFFF, kind="stable")
+    return out, every[order][:CLEAN_LANDMARKS].tolist()
 
 
 def _svm(x: np.ndarray, y: np.ndarray, limit: np.ndarray, rounds: int = 40) -> np.ndarray:
@@ -364,18 +381,15 @@ def _link(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit_words(words: Words, each: list[bytes], toxic: list[set[int]], clean: list[set[int]]) -> Machine | None:
+def fit_words(words: Words, each: list[bytes], toxic: list[set[int]], in_clean: np.ndarray, n_clean: int) -> Machine | None:
     """The machine over words; None if no word of a toxic text tells it apart."""
     toxic = [toxic[k] for k in families(toxic)]  # the words of a copied text tell nothing by coming often
-    insults, usual = choose_landmarks(toxic, clean)
+    insults, usual = choose_landmarks(toxic, in_clean, n_clean)
     if not insults:
-        insults, usual = choose_landmarks(toxic, clean, 1)
-    if not insults or not any(clean):
+        insults, usual = choose_landmarks(toxic, in_clean, n_clean, 1)
+    if not insults or not in_clean.any():
         return None
     chosen = insults + usual
-    in_clean = np.zeros(words.n, bool)
-    for b in clean:
-        in_clean[list(b)] = True
     marks = Landmarks([each[w] for w in chosen])
     gram = marks.values([each[w] for w in chosen])
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
@@ -422,13 +436,17 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
         return None
     words = Words.of(list(raw))
     each = words.each()
-    bags: list[set[int]] = [set() for _ in y]
-    for d, w in zip(words.doc.tolist(), words.word.tolist(), strict=True):
-        bags[d].add(w)
+    # each word of a text once
+    doc, word = np.divmod(np.unique(words.doc * max(1, words.n) + words.word), max(1, words.n))
+    ends = np.searchsorted(doc, np.arange(len(y) + 1))
     half = np.array([zlib.crc32(p) & 1 for p in raw])
+    del raw
 
     def machine(rows: np.ndarray) -> Machine | None:
-        return fit_words(words, each, [bags[k] for k in rows if y[k] > 0], [bags[k] for k in rows if y[k] < 0])
+        toxic = [set(word[ends[k] : ends[k + 1]].tolist()) for k in rows if y[k] > 0]
+        clean = rows[y[rows] < 0]
+        in_clean = np.bincount(word[np.isin(doc, clean)], minlength=words.n)
+        return fit_words(words, each, toxic, in_clean, len(clean))
 
     whole = machine(np.arange(len(y)))
     if whole is None:
