@@ -5,7 +5,11 @@ elements with class or id), and its blocks of text, told apart by place and text
 one host whose counts agree on every one of its pages (equal occurrence vectors) form an
 equivalence class.  A class is valid if it holds a structural tag, at least MIN_PAGES
 pages and at least SUPPORT of the host's pages with text hold it, and these do not all read the
-same.  Tags nest by path, so the valid classes nested into each other are the host's template; its
+same.  An element is an opening and a closing tag there.  A class is ordered: its tokens come in one order, again and
+again, on all pages; of a class that does not, the tokens that keep their place stay together and each other one is a class
+of its own.  Classes are nested: all occurrences of one lie outside the other, or in the same slot of it, the room
+between two of its tokens; of two that are not, the one that fewer pages hold is broken into its elements and texts, and those
+that do not nest either are no part of the template.  So every class of a host's template has one place, a slot of the class around it.  Its
 texts outside ``article`` and ``main`` are template texts (what these hold is declared content,
 though all pages share it).  What the template leaves open (the slots) is extracted whole,
 less the menus, adverts, forms, notices and reader comments, which are told by tag, or
@@ -19,7 +23,8 @@ Blocks: each block element starts a new block; character references are decoded,
 space inside a block becomes one space, blocks are joined by line feeds.  Nothing else
 is dropped or cut.
 
-Scale: occurrence vectors are compared by two sums of 32-bit halves of a hash of page and count, so
+Scale: pages are read for the vectors, for the order and for the nesting (once more for hosts with a class that is
+broken), the last two only where a host's classes hold texts.  Occurrence vectors are compared by two sums of 32-bit halves of a hash of page and count, so
 aggregations by (host, token) and (host, vector) with partial sums are all that is shuffled, texts as
 64-bit hashes; no task gathers a host.
 
@@ -39,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage_table, table
+from .common import drop_stage, stage_table, table
 
 MIN_PAGES = 3
 #: A class is valid if at least this share of its host's pages with text hold it.
@@ -88,6 +93,7 @@ class Page:
     def __init__(self, html: str):
         self.tokens: dict[str, int] = {}  # path: count
         self.blocks: list[tuple[str, str]] = []  # path, text
+        self.events: list[str | tuple[str, str]] = [""]  # opening tags (path), closing tags (path and /) and blocks, in order
         self._read(html)
 
     def _read(self, html: str) -> None:
@@ -102,6 +108,11 @@ class Page:
                 parts.clear()
                 if text:
                     self.blocks.append((path, text))
+                    self.events.append(self.blocks[-1])
+
+        def close(k: int) -> None:
+            self.events.extend(f"{p}/" for _, p, _ in reversed(stack[k:]))
+            del stack[k:]
 
         while at < n:
             m = _TAG.search(html, at)
@@ -122,7 +133,7 @@ class Page:
                     for k in range(len(stack) - 1, -1, -1):
                         if stack[k][0] == tag:
                             flush()
-                            del stack[k:]
+                            close(k)
                             path, chrome = (stack[-1][1], stack[-1][2]) if stack else ("", False)
                             break
                     else:
@@ -146,7 +157,7 @@ class Page:
             for k in range(len(stack) - 1, -1, -1):
                 name = stack[k][0]
                 if name in ENDS and tag in ENDS[name]:
-                    del stack[k:]
+                    close(k)
                     break
                 if name in ("ul", "ol", "dl", "table", "div", "article", "section", "body", "td"):
                     break
@@ -164,7 +175,10 @@ class Page:
             chrome = chrome or bad
             stack.append((tag, path, chrome))
             self.tokens[path] = self.tokens.get(path, 0) + 1
+            self.events.append(path)
         flush()
+        close(0)
+        self.events.append("/")
 
     def content(self, template: frozenset[int]) -> list[tuple[str, str]]:
         """The blocks that are not template texts; all of them if there is no other."""
@@ -252,13 +266,197 @@ def classes(seen: DataFrame) -> DataFrame:
     return tags.join(texts, vector, "left").drop("low", "high")
 
 
-def templates(seen: DataFrame) -> DataFrame:
-    """Host, tokens and texts of its template: the valid classes, tags in the order of nesting."""
-    found = classes(seen)
-    whole = seen.where((F.col("token") == "") & F.col("text").isNull() & (F.col("pages") >= MIN_PAGES)).select("host", F.col("pages").alias("all"))
-    valid = found.join(whole, "host").where(F.col("pages") >= SUPPORT * F.col("all"))
-    merged = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
-    return valid.groupBy("host").agg(merged("tokens").alias("tokens"), merged("texts").alias("texts"))
+def events_of(page: Page) -> list[str]:
+    """Tags and texts that may be tokens of a template, in order: a path, a path and /, or # and the hash of a text."""
+    return [e if isinstance(e, str) else f"#{text_token(*e)}" for e in page.events if isinstance(e, str) or outside(e[0])]
+
+
+def is_open(event: str) -> bool:
+    return not event or (event[0] == "/" and event[-1] != "/")
+
+
+def places(events: list[str], members: dict[str, int], sizes: list[int]) -> Iterator[tuple[int, str, int, int]]:
+    """Class, token, least and greatest place of it in its class on one page; each place is possible where the class
+    is out of order."""
+    found: dict[int, list[str]] = {}
+    for e in events:
+        if e in members:
+            found.setdefault(members[e], []).append(e)
+    for c, row in found.items():
+        n = sizes[c]
+        if len(set(row[:n])) == n and row == row[:n] * (len(row) // n):
+            yield from ((c, e, k, k) for k, e in enumerate(row[:n]))
+        else:
+            yield from ((c, e, 0, n - 1) for e in set(row))
+
+
+def ordered(rows: list[tuple[int, int, str]]) -> list[list[str]]:
+    """The ordered classes of a class, given least and greatest place of its tokens: those that no other token
+    ever passes, and each other element or text alone."""
+    rows, loose, at, most = sorted(rows), set(), 0, -1
+    for k, (_, high, _) in enumerate(rows):
+        most = max(most, high)
+        if most == k:
+            if k > at:
+                loose |= {e for _, _, e in rows[at : k + 1]}
+            at = k + 1
+    apart = {e if e[:1] == "#" or is_open(e) else e[:-1] for e in loose}
+    keep = [e for _, _, e in rows if not apart & {e, e if is_open(e) else e[:-1]}]
+    return ([keep] if keep else []) + [[e] if e[:1] == "#" else [e, f"{e}/"] for e in sorted(apart)]
+
+
+def relations(events: list[str], classes: list[list[str]]) -> Iterator[tuple[int, int, int]]:
+    """One page: (class, slot, class in it) for each occurrence; slot CROSS where two classes cross, and (class, TOTAL, class)."""
+    where = {e: (c, r) for c, own in enumerate(classes) for r, e in enumerate(own)}
+    after: dict[int, int] = {}  # open occurrences, outermost first: tokens seen
+    for e in events:
+        if e not in where:
+            continue
+        c, r = where[e]
+        if r == 0:
+            yield c, TOTAL, c
+            yield from ((a, slot, c) for a, slot in after.items())
+        else:
+            # those that began later should have ended
+            yield from ((c, CROSS, x) for x in list(after)[list(after).index(c) + 1 :])
+        after[c] = r + 1
+        if r + 1 == len(classes[c]):
+            del after[c]
+
+
+TOTAL, CROSS, GONE = -2, -1, -2
+
+
+def units(events: list[str]) -> list[str]:
+    """The elements and texts of a class."""
+    return [e for e in events if e[:1] == "#" or is_open(e)]
+
+
+def nested(n: int, counts: dict[tuple[int, int, int], int]) -> dict[int, tuple[int, int]]:
+    """The classes of 0..n-1 (more pages first) that are nested with all before them: class around it (-1: none) and slot."""
+    inside: dict[tuple[int, int], dict[int, int]] = {}
+    for (a, slot, b), k in counts.items():
+        if slot != TOTAL:
+            inside.setdefault((a, b), {})[slot] = k
+
+    def fits(a: int, b: int) -> bool:
+        got = inside.get((a, b), {})
+        return not got or (CROSS not in got and len(got) == 1 and sum(got.values()) == counts[b, TOTAL, b])
+
+    kept: list[int] = []
+    for b in range(n):
+        if (b, TOTAL, b) in counts and all(fits(a, b) and fits(b, a) for a in kept):
+            kept.append(b)
+    around = {b: [a for a in kept if (a, b) in inside] for b in kept}
+    out = {}
+    for b in kept:
+        a = max(around[b], key=lambda x: len(around[x]), default=-1)
+        out[b] = (a, next(iter(inside[a, b])) if a >= 0 else 0)
+    return out
+
+
+def _by_page(pages: DataFrame, found: DataFrame, make, columns: str) -> DataFrame:
+    """Rows (host, *key, *values) of the pages of hosts in ``found`` (host, classes), summed up in each batch: ``make`` takes
+    events, classes, sums."""
+    names = [c.split()[0] for c in columns.split(", ")]
+    kinds = [pa.string() if c.endswith("string") else pa.int64() for c in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums: dict[str, dict] = {}
+            known: dict[str, list[list[str]]] = {}
+            for k, (host, html) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                page = Page(html or "")
+                if not page.blocks:
+                    continue
+                if host not in known:
+                    known[host] = b.column(2)[k].as_py()
+                make(events_of(page), known[host], sums.setdefault(host, {}))
+            rows = [(host, *key, *value) for host, own in sums.items() for key, value in own.items()]
+            cells = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names)
+
+    shipped = F.broadcast(found) if found.count() <= SHIP_HOSTS else found
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html").join(shipped, "host").select("host", "html", "classes")
+    return rows.mapInArrow(run, columns)
+
+
+def _add_places(events: list[str], classes: list[list[str]], sums: dict) -> None:
+    members = {e: c for c, own in enumerate(classes) for e in own}
+    for c, e, low, high in places(events, members, [len(x) for x in classes]):
+        was = sums.get((c, e), (low, high))
+        sums[c, e] = (min(was[0], low), max(was[1], high))
+
+
+def _add_relations(events: list[str], classes: list[list[str]], sums: dict) -> None:
+    for key in relations(events, classes):
+        sums[key] = (sums.get(key, (0,))[0] + 1,)
+
+
+def valid_classes(seen: DataFrame) -> DataFrame:
+    """The classes that enough of their host's pages hold, of hosts of which a class holds texts."""
+    seen = stage_table(seen.where(F.col("pages") >= MIN_PAGES), "tokens")
+    whole = seen.where((F.col("token") == "") & F.col("text").isNull()).select("host", F.col("pages").alias("all"))
+    found = classes(seen).join(whole, "host").where(F.col("pages") >= SUPPORT * F.col("all"))
+    found = stage_table(found.select("host", "pages", "tokens", "texts"), "classes")
+    drop_stage(seen)
+    return found.join(found.where(F.size("texts") > 0).select("host").distinct(), "host", "left_semi")
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """A row for each class of a host's template: host, class, events (its tokens in order), around (the class that
+    holds it, -1: none), slot of that class."""
+    edges = F.flatten(F.transform("tokens", lambda t: F.array(t, F.concat(t, F.lit("/")))))
+    texts = F.transform(F.coalesce("texts", F.array().cast("array<bigint>")), lambda t: F.concat(F.lit("#"), t.cast("string")))
+    rank = (-F.col("pages")).alias("rank")
+    one = F.struct(rank, F.concat(edges, texts).alias("events"))
+    found = valid_classes(occurrences(pages)).groupBy("host").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    found = stage_table(found.select("host", F.col("all.events").alias("classes"), F.col("all.rank").alias("ranks")), "classes")
+
+    spots = _by_page(pages, found.select("host", "classes"), _add_places, "host string, class long, event string, low long, high long")
+    spots = spots.groupBy("host", "class", "event").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    spots = spots.groupBy("host", "class").agg(F.collect_list(F.struct("low", "high", "event")).alias("rows"))
+
+    @F.udf("array<array<string>>")
+    def split(rows):
+        return ordered([tuple(r) for r in rows])
+
+    parts = spots.join(found.select("host", "ranks"), "host").select("host", F.get("ranks", F.col("class").cast("int")).alias("rank"), F.explode(split("rows")).alias("events"))
+    whole = _ranked(parts)
+    first = _nested(pages, whole)
+    # classes that do not nest are broken into their elements and texts, and what still does not nest goes
+    again = first.where(F.col("around") == GONE)
+    alone = again.where(F.size("events") > F.when(F.get("events", F.lit(0)).startswith("#"), 1).otherwise(2))
+    broken = F.udf(lambda row: [[x] if x[:1] == "#" else [x, f"{x}/"] for x in units(row)], "array<array<string>>")
+    hosts = alone.select("host").distinct()
+    if hosts.limit(1).count():
+        kept = first.join(hosts, "host", "left_semi").where(F.col("around") != GONE).select("host", "rank", "events")
+        second = _nested(pages, _ranked(kept.unionByName(alone.select("host", "rank", F.explode(broken("events")).alias("events")))))
+        first = first.join(hosts, "host", "left_anti").unionByName(second)
+    return first.where(F.col("around") != GONE).select("host", "class", "events", "around", "slot")
+
+
+def _ranked(parts: DataFrame) -> DataFrame:
+    """host, classes, ranks of rows (host, rank, events): more pages first, then the larger class."""
+    one = F.struct("rank", (-F.size("events")).alias("size"), "events")
+    whole = parts.groupBy("host").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    return stage_table(whole.select("host", F.col("all.events").alias("classes"), F.col("all.rank").alias("ranks")), "classes")
+
+
+def _nested(pages: DataFrame, whole: DataFrame) -> DataFrame:
+    """host, class, rank, events, around, slot of every class; around is GONE for those that do not nest."""
+    counts = _by_page(pages, whole.select("host", "classes"), _add_relations, "host string, a long, slot long, b long, n long")
+    counts = counts.groupBy("host", "a", "slot", "b").agg(F.sum("n").alias("n"))
+    counts = counts.groupBy("host").agg(F.collect_list(F.struct("a", "slot", "b", "n")).alias("rows"))
+
+    @F.udf("array<struct<class int, around int, slot int>>")
+    def tree(n, rows):
+        got = nested(n, {(r[0], r[1], r[2]): r[3] for r in rows})
+        return [(b, *got.get(b, (GONE, 0))) for b in range(n)]
+
+    got = counts.join(whole, "host").select("host", "classes", "ranks", F.inline(tree(F.size("classes"), "rows")))
+    at = F.col("class")
+    return stage_table(got.select("host", at, F.get("ranks", at).alias("rank"), F.get("classes", at).alias("events"), "around", "slot"), "nested")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -276,7 +474,9 @@ def extract(pages: DataFrame) -> DataFrame:
                 ["page_id", "url", "text", "root"],
             )
 
-    found = stage_table(templates(occurrences(pages)).where(F.size("texts") > 0).select("host", "texts"), "templates")
+    texts = F.transform(F.filter("events", lambda e: e.startswith("#")), lambda e: F.substring(e, 2, 20).cast("long"))
+    found = templates(pages).groupBy("host").agg(F.flatten(F.collect_list(texts)).alias("texts"))
+    found = stage_table(found.where(F.size("texts") > 0), "templates")
     if found.count() <= SHIP_HOSTS:
         found = F.broadcast(found)
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("host"))

@@ -433,6 +433,30 @@ def test_names_that_only_contain_a_chrome_word(spark):
     assert page_texts(spark, [page.format(i) for i in range(4)]) == [f"Share {i}\nPeriod {i}\nRest {i}" for i in range(4)]
 
 
+def test_template_classes_are_ordered_and_nested(spark):
+    page = "<body><div class=top>Our site</div>{a}<article><p>Text {i}</p></article>{b}<div class=end>All rights kept</div></body>"
+    # two adverts of some pages stand around the text: each has a slot of its own
+    ads = [("<div class=x>Buy</div>", "<div class=y>Sell</div>") if i < 4 else ("", "") for i in range(6)]
+    pages = [page.format(i=i, a=a, b=b) for i, (a, b) in enumerate(ads)]
+    assert page_texts(spark, pages) == [f"Text {i}" for i in range(6)]
+    # a box that stands before the text on some pages and behind it on others has no slot
+    box = "<div class=box>Read on</div>"
+    pages = [page.format(i=i, a=box * (i % 2), b=box * (1 - i % 2)) if i < 4 else page.format(i=i, a="", b="") for i in range(6)]
+    want = [f"Text {i}\nRead on" if i % 2 == 0 else f"Read on\nText {i}" for i in range(4)]
+    assert page_texts(spark, pages) == want + ["Text 4", "Text 5"]
+    # what changes places inside one slot is still the template's
+    links = ["<div class=a>One</div>", "<div class=b>Two</div>"]
+    pages = [page.format(i=i, a="".join(links[:: 1 - 2 * (i % 2)]), b="") for i in range(6)]
+    assert page_texts(spark, pages) == [f"Text {i}" for i in range(6)]
+    rows = [(i, "http://a.example/", p) for i, p in enumerate(pages)]
+    got = {r["class"]: r for r in htmltext.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0]["events"][:2] == ["", "/body"] and got[0]["events"][-1] == "/" and got[0]["around"] == -1
+    # both elements lie in one slot of the page's class, each text in its element
+    assert len(got) == 5 and {(r["around"], r["slot"]) for r in got.values()} == {(-1, 0), (0, 5), (1, 1), (2, 1)}
+    assert htmltext.nested(2, {(0, -2, 0): 3, (1, -2, 1): 3, (0, 1, 1): 2}) == {0: (-1, 0)}
+    assert htmltext.nested(2, {(0, -2, 0): 3, (1, -2, 1): 3, (0, 1, 1): 3}) == {0: (-1, 0), 1: (0, 1)}
+
+
 # ---- 9 decontamination ----------------------------------------------------------
 
 
