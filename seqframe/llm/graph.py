@@ -9,6 +9,10 @@ from .common import drop_stage, stage_table
 
 #: Up to so many edges (pairs of longs) the smallest neighbours are shipped; a longer table is joined by a shuffle.
 SHIP_EDGES = 500_000
+#: A round is written in files of about so many edges: each file costs the executors three processes of Hadoop's (chmod).
+FILE_EDGES = 1 << 16
+#: But in no fewer files than so many.
+LEAST_FILES = 8
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
@@ -37,7 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
         # and the smaller neighbours of a node, all it has now, to their smallest
         small = large.join(ship(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b"))
-        new, after = _written(small.distinct())
+        # a round leaves about as many edges as it got
+        new, after = _written(small.distinct().coalesce(max(LEAST_FILES, -(-mark[0] // FILE_EDGES))))
         drop_stage(now)
         now = new
         if after == mark:

@@ -388,6 +388,22 @@ def test_languages(spark, real):
     assert langid.fit(real.limit(0)).model.langs == ()
 
 
+@pytest.mark.parametrize("per_file", [1 << 16, 10])
+def test_rounds_of_few_edges_leave_few_files(spark, monkeypatch, per_file):
+    monkeypatch.setattr(graph, "FILE_EDGES", per_file)
+    own = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        got = graph.components(spark.range(0, 400).selectExpr("id a", "if(id % 7 = 6, id, id + 1) b"))
+        assert {r["node"]: r["root"] for r in got.collect()} == {k: k // 7 * 7 for k in range(401) if k < 400 or k % 7}
+        assert len(got.inputFiles()) <= (graph.LEAST_FILES if per_file > 10 else 24)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # ---- 7 pages --------------------------------------------------------------------
 
 
