@@ -23,6 +23,10 @@ def _long(c):
     return c.cast("array<bigint>")
 
 
+def _masses(t, masses=P.integer_masses):
+    return t.peptides.select("id", masses("seq").alias("masses"))
+
+
 @query(_PEP + "SELECT id, list(im::BIGINT ORDER BY pos) AS masses, string_agg(CAST(im AS VARCHAR), '-' ORDER BY pos) AS text FROM r GROUP BY 1")
 def integer_masses(t):
     m = P.integer_masses("seq")
@@ -71,7 +75,7 @@ _LINEAR = "SELECT id, 0::BIGINT AS x FROM pep UNION ALL SELECT a.id, b.x - a.x F
 
 @query(_WITHPRE + f"SELECT id, list(x ORDER BY x) AS masses FROM ({_LINEAR}) GROUP BY 1")
 def linear_spectrum(t):
-    return t.peptides.select("id", _long(P.linear_spectrum(P.integer_masses("seq"))).alias("masses"))
+    return peptide.theoretical_spectra(_masses(t), False, "bigint", "masses")
 
 
 _CYCLIC = (
@@ -83,7 +87,7 @@ _CYCLIC = (
 
 @query(_WITHPRE + f"SELECT id, list(x ORDER BY x) AS masses FROM ({_CYCLIC}) GROUP BY 1")
 def cyclic_spectrum(t):
-    return t.peptides.select("id", _long(P.cyclic_spectrum(P.integer_masses("seq"))).alias("masses"))
+    return peptide.theoretical_spectra(_masses(t), True, "bigint", "masses")
 
 
 @query("SELECT p_partkey AS id, CAST(k * (k + 1) // 2 + 1 AS BIGINT) AS linear, CAST(k * (k - 1) AS BIGINT) AS cyclic FROM (SELECT p_partkey, p_size::BIGINT AS k FROM part)")
@@ -97,9 +101,7 @@ def sub_peptide_counts(t):
     + f"SELECT id, CAST(sum(n) AS BIGINT) AS n, true AS consistent FROM (SELECT id, a.x AS v, least(a.n, b.n) AS n FROM (SELECT id, x, count(*) AS n FROM l GROUP BY ALL) a JOIN (SELECT id, x, count(*) AS n FROM c GROUP BY ALL) b USING (id, x)) GROUP BY 1"
 )
 def common_counts(t):
-    m = P.integer_masses("seq")
-    rows = t.peptides.select("id", P.linear_spectrum(m).alias("l"), P.cyclic_spectrum(m).alias("c"))
-    return rows.select("id", P.common_count("l", "c").cast("long").alias("n"), P.consistent("l", "c").alias("consistent"))
+    return peptide.common_counts(_masses(t))
 
 
 @query(with_sql("spec") + "SELECT spec_id, mass, count(*) AS n FROM spec GROUP BY ALL")
@@ -194,7 +196,7 @@ def spectrum_equal(t):
 
 def _rings(t, masses=P.integer_masses, kind="int"):
     """The cyclic spectrum of each part's whole peptide."""
-    return peptide.theoretical_spectra(t.peptides.select("id", masses("seq").alias("masses")), True, kind).withColumnRenamed("id", "spec_id")
+    return peptide.theoretical_spectra(_masses(t, masses), True, kind).withColumnRenamed("id", "spec_id")
 
 
 @query()
