@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from .stages import parts
 
 #: Sequences and bytes of a block, pairs compared at once.
 BLOCK, BLOCK_BYTES, CELLS = 1024, 1 << 22, 1 << 19
@@ -72,19 +73,32 @@ def motif_total(seqs: DataFrame, motif: str) -> DataFrame:
     return seqs.agg(F.coalesce(F.sum(S.motif_hamming("seq", motif)), F.lit(0)).cast("long").alias("hamming"))
 
 
+def _place(v: Column, cuts: list[float]) -> Column:
+    """How many of the sorted cuts are at most v: first among every so many of them, then among those that follow."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    below = lambda values: F.size(F.filter(values, lambda c: c <= v))
+    row = lambda values: F.array(*[F.lit(float(c)) for c in values])
+    first = below(row([g[0] for g in groups]))
+    return S.let(first, lambda k: F.when(k > 0, (k - 1) * step + below(F.element_at(F.array(*[row(g) for g in groups]), F.greatest(k, F.lit(1))))).otherwise(0))
+
+
 def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     """key, x, nearest, d: for each (key, x) the closest value (value) of the right; equally close: the greater.
 
-    One sort of both sides by value range and two running values; no pairs are made.  The
-    boundary values of the ranges are found by counting, so no task holds all rows.
+    One sort of both sides by value range and two running values; no pairs are made.  The ranges
+    are cut where the values of both sides lie, in number as these grow.
     """
-    n = 64
-    cuts = sorted(set(right.approxQuantile("value", [k / n for k in range(1, n)], 0.005)))
-    block = lambda v: F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= v)) if cuts else F.lit(0)
+    values = left.select(F.col("x").alias("value")).unionByName(right.select("value"))
+    n = parts(values)
+    cuts = sorted(set(values.approxQuantile("value", [k / n for k in range(1, n)], min(0.005, 0.25 / n))))
+    block = lambda v: _place(v, cuts)
     r = right.select(F.lit(None).alias("key"), F.col("value").alias("v"), F.lit(0).alias("side"), block(F.col("value")).alias("b"))
     # every block also gets the greatest value below it and the least above it
     ends = r.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    w = W.orderBy("b")  # at most n rows
+    w = W.orderBy("b")  # a row for each block
     blocks = right.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("b")).join(ends, "b", "left")
     edges = blocks.select(
         "b",
@@ -96,6 +110,7 @@ def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     both = rows.unionByName(r.withColumn("key", F.lit(None).cast(left.schema["key"].dataType))).unionByName(
         extra.select(F.lit(None).cast(left.schema["key"].dataType).alias("key"), "v", F.lit(0).alias("side"), "b")
     )
+    both = both.repartition(n, "b")
     value = F.when(F.col("side") == 0, F.col("v"))
     down = W.partitionBy("b").orderBy("v", "side").rowsBetween(W.unboundedPreceding, 0)
     up = W.partitionBy("b").orderBy(F.desc("v"), "side").rowsBetween(W.unboundedPreceding, 0)
@@ -118,8 +133,16 @@ def overlap(measured: DataFrame, theory: DataFrame, width: float) -> DataFrame:
     return theory.select("spec_id").distinct().join(n, "spec_id", "left").select("spec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def _dealt(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    n = parts(a) if a is b else parts(a, b)
+    return a.repartition(n, "spec_id"), b.repartition(n, "spec_id")
+
+
 def convolution(a: DataFrame, b: DataFrame) -> DataFrame:
-    """spec_id, diff, n: how often each difference b - a of masses occurs; (spec_id, mass) rows are counted first."""
+    """spec_id, diff, n: how often each difference b - a of masses occurs; (spec_id, mass) rows are counted first.
+
+    Both tables are dealt by spectrum once, over tasks that grow in number with them."""
+    a, b = _dealt(a, b)
     ca = a.groupBy("spec_id", F.col("mass").alias("ma")).agg(F.count("*").alias("na"))
     cb = b.groupBy("spec_id", F.col("mass").alias("mb")).agg(F.count("*").alias("nb"))
     return ca.join(cb, "spec_id").groupBy("spec_id", (F.col("mb") - F.col("ma")).alias("diff")).agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
@@ -137,6 +160,7 @@ def self_convolution(spectra: DataFrame) -> DataFrame:
 
 def common_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     """spec_id, n: size of the multiset intersection of two tables (spec_id, mass)."""
-    ca = a.groupBy("spec_id", "mass").agg(F.count("*").alias("na"))
-    cb = b.groupBy("spec_id", "mass").agg(F.count("*").alias("nb"))
-    return ca.join(cb, ["spec_id", "mass"]).groupBy("spec_id").agg(F.sum(F.least("na", "nb")).alias("n"))
+    side = lambda t, k: t.where("mass is not null and spec_id is not null").select("spec_id", "mass", F.lit(k).alias("side"))
+    both = side(a, 0).unionByName(side(b, 1)).repartition(parts(a, b), "spec_id")
+    n = both.groupBy("spec_id", "mass").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"))
+    return n.where("na > 0 and nb > 0").groupBy("spec_id").agg(F.sum(F.least("na", "nb")).alias("n"))

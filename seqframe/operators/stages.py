@@ -31,6 +31,16 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a partition by key.
+ROWS = 250_000
+
+
+def parts(*tables: DataFrame) -> int:
+    """Partitions for work by key on the tables: as many as usual, and more as they grow, so that a task's rows stay few."""
+    usual = int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, -(-max(x.count() for x in tables) // ROWS))
+
+
 def numbered(rows: DataFrame, *keys: str, name: str = "ord") -> DataFrame:
     """Adds each row's place (from 0) in the order of the keys: ranges are sorted apart, and counts of whole ranges added."""
     at, part = "__at", "__part"
