@@ -108,6 +108,21 @@ def probabilities(windows: DataFrame, frac: DataFrame) -> DataFrame:
 
 
 def most_probable(seqs: DataFrame, frac: DataFrame, k: int) -> DataFrame:
-    """id, kmer: the first window of the highest probability in each sequence."""
-    p = probabilities(kmers(seqs, k), frac)
-    return p.groupBy("id").agg(F.max_by("kmer", F.struct("prob", -F.col("pos"))).alias("kmer"))
+    """id, kmer: the first window of the highest probability in each sequence, found before anything is shuffled."""
+    table = frac.agg(F.array_sort(F.collect_list(F.struct("pos", *B))).alias("p"))
+
+    def windows(text: S.Text, low: S.Text) -> Column:
+        def prob(at: Column) -> Column:
+            def one(row: Column, i: Column) -> Column:
+                out = row["g"]
+                for b in "tca":
+                    out = F.when(low.at(at + i) == b, row[b]).otherwise(out)
+                return out
+
+            return F.aggregate(F.transform("p", one), F.lit(1.0), lambda a, x: a * x)
+
+        return F.array_max(F.transform(text.starts(k), lambda i: F.struct(prob(i).alias("prob"), (-i).alias("at"), text.sub(i, k).alias("kmer"))))
+
+    best = seqs.join(F.broadcast(table)).select("id", S.read(windows, "seq", S.to_lower("seq")).alias("x")).where("x is not null")
+    # rows of one id count together
+    return best.groupBy("id").agg(F.max_by("x.kmer", F.struct("x.prob", "x.at")).alias("kmer"))
