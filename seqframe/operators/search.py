@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batch
 from ..functions import seq as S
 from ..functions.suffix import Occurrences, codes, suffix_array
 
@@ -24,10 +26,19 @@ def peptide_sites(seqs: DataFrame, peptide: str, distinct: bool = False) -> Data
     """id, pos, strand of sites that read the peptide; ``distinct``: id, pos, each place once."""
     if not peptide:
         raise ValueError("an empty peptide has no sites")
-    hit = frames(seqs).select("id", "strand", "frame", "n", F.explode(S.all_index("residues", peptide)).alias("at"))
-    p = F.col("at") * 3 + F.col("frame")
-    sites = hit.select("id", F.when(F.col("strand") == 1, p).otherwise(F.col("n") - p - 3 * len(peptide)).alias("pos"), "strand")
-    return sites.select("id", "pos").distinct() if distinct else sites
+    kind = seqs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, code, lengths in batch.pieces(batches):
+            text, pos, strand = batch.peptide_sites(code, lengths, peptide)
+            if distinct and len(text):
+                text, pos = np.divmod(np.unique(text * len(code) + pos), len(code))
+            columns = [b.column(0).take(pa.array(text)), pa.array(pos.astype(np.int32)), pa.array(strand.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns[:2], ["id", "pos"]) if distinct else pa.RecordBatch.from_arrays(columns, ["id", "pos", "strand"])
+
+    sites = seqs.select("id", "seq").mapInArrow(run, f"id {kind}, pos int" + ("" if distinct else ", strand int"))
+    # rows of one id count together
+    return sites.distinct() if distinct else sites
 
 
 def open_reading_frames(seqs: DataFrame) -> DataFrame:
@@ -90,8 +101,23 @@ def search_index(index: DataFrame, pattern: str) -> DataFrame:
 
 
 def index_search(seqs: DataFrame, pattern: str, sentinel: str = "$") -> DataFrame:
-    """``search_index`` over an index built for the one search."""
-    return search_index(full_text_index(seqs, sentinel), pattern)
+    """``search_index`` over indexes built for the one search, which are not written out: many texts are indexed at once."""
+    if not pattern:
+        raise ValueError("an empty pattern")
+    kind = seqs.schema["id"].dataType.simpleString()
+    closed = F.when(F.endswith("seq", F.lit(sentinel)), F.col("seq")).otherwise(F.concat("seq", F.lit(sentinel)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, code, lengths in batch.pieces(batches):
+            sa = batch.suffix_arrays(code, lengths)
+            low, high = batch.backward_search(code, lengths, sa, pattern)
+            n = np.maximum(high - low, 0)
+            text = np.repeat(np.arange(len(n)), n)
+            ord_ = np.arange(len(text)) - (np.cumsum(n) - n)[text]
+            pos = sa[(np.cumsum(lengths) - lengths + low)[text] + ord_]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(pos.astype(np.int32)), pa.array(ord_.astype(np.int32))], ["id", "pos", "ord"])
+
+    return seqs.select("id", closed.alias("seq")).mapInArrow(run, f"id {kind}, pos int, ord int")
 
 
 def is_uniform(seqs: DataFrame) -> DataFrame:
