@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..alphabet import BASES
+from ..functions import batch
 from ..functions import seq as S
 from .kmers import kmers
 
+#: Places of neighbourhoods held at once.
+CELLS = 1 << 22
+
 
 def _step(s: Column) -> Column:
     """The sequence and all that differ from it in one place, whose case they keep."""
@@ -79,16 +88,33 @@ def median_motifs(seqs: DataFrame, k: int) -> DataFrame:
 
     Distances are taken to the distinct k-mers of each sequence only.
     """
-    from .kmers import all_kmers
-
-    own = kmers(seqs, k, fold=True).select("id", "kmer").distinct()
-    # one row for each distinct k-mer of the table; candidates are 4**k rows
-    seen = own.select("kmer").distinct()
-    d = all_kmers(seqs.sparkSession, k).select(F.col("kmer").alias("motif")).crossJoin(seen)
-    d = d.withColumn("d", S.hamming("motif", "kmer"))
-    least = own.join(d, "kmer").groupBy("motif", "id").agg(F.min("d").alias("d"))
+    # rows of one id count together
+    own = seqs.groupBy("id").agg(F.collect_list(S.to_upper("seq")).alias("texts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(0)
+            row = np.repeat(np.arange(len(texts)), pc.list_value_length(texts).to_numpy(zero_copy_only=False))
+            code, lengths = batch.joined(texts.flatten())
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            at = np.flatnonzero((np.cumsum(lengths)[text] - np.arange(len(code))) >= k)
+            if not len(at):
+                continue
+            number = np.full(len(code), 4, np.int64)
+            for i, c in enumerate(BASES):
+                number[code == ord(c)] = i
+            # rows with k-mers, some CELLS at once
+            owner, row = np.unique(row[text[at]], return_inverse=True)
+            total, step = np.zeros(4**k, np.int64), max(1, CELLS // 5**k)
+            for low in range(0, len(owner), step):
+                here = (row >= low) & (row < low + step)
+                kmer = np.stack([number[at[here] + j] for j in range(k)], axis=1)
+                least = batch.nearest_distances(row[here] - low, kmer, min(step, len(owner) - low), k)
+                total += least.reshape(-1, 4**k).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(4**k)), pa.array(total)], ["code", "d"])
+
+    sums = own.select("texts").mapInArrow(run, "code long, d long").groupBy("code").agg(F.sum("d").alias("d"))
     short = seqs.select(F.count_if(F.length("seq") < k).alias("short"))
-    total = least.groupBy("motif").agg(F.sum("d").alias("d")).join(F.broadcast(short))
-    total = total.select(F.col("motif").alias("kmer"), (F.col("d") + F.col("short") * k).cast("long").alias("hamming"))
+    total = sums.join(F.broadcast(short)).select(S.kmer_of(F.col("code"), k).alias("kmer"), (F.col("d") + F.col("short") * k).cast("long").alias("hamming"))
     best = total.agg(F.min("hamming").alias("best"))
     return total.join(F.broadcast(best), F.col("hamming") == F.col("best")).drop("best")
